@@ -19,9 +19,24 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.linededup import drop_boilerplate
+
+    return drop_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op5_simhash": op5_simhash}
+    return {"op5_simhash": op5_simhash, "op6_line_dedup": op6_line_dedup, "op8_decontamination": op8_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from inkstone.llm.decontaminate import contaminated_sql
+    from inkstone.llm.linededup import dropped_lines_sql
+
+    return {"op6_line_dedup": dropped_lines_sql("documents", "source"), "op8_decontamination": contaminated_sql("documents", "benchmark")}
