@@ -13,6 +13,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from inkstone.llm.piece_bpe import piece_digests
+
+    return piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkstone.llm.simhash import simhash_components
 
@@ -32,7 +40,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_simhash": op5_simhash, "op6_line_dedup": op6_line_dedup, "op8_decontamination": op8_decontamination}
+    return {"op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_line_dedup": op6_line_dedup, "op8_decontamination": op8_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
