@@ -184,7 +184,7 @@ class Pieces:
         n, first = 0, True
         for part in _parts(text or ""):
             plain = part.replace("\n", " \n")
-            if "  " in plain or MARK in plain or not first and plain[0] == "\n":
+            if "  " in plain or MARK in plain or first and plain[0] == " ":
                 found = self.remembered(_CHUNK.findall((MARK if first else "") + part.replace(" ", MARK)), True)
             else:
                 found = self.remembered((plain if first else plain[1:]).split(" "), False)
