@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -217,8 +218,6 @@ def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text") -> Da
     become the tokens of their bytes.  All rows stay, repeated ones too; columns named like the new
     ones are replaced.  An empty table gives no rows.
     """
-    import pandas as pd
-
     pieces = Pieces(model_file)
 
     @F.pandas_udf("ids array<int>, decoded string")
@@ -232,8 +231,6 @@ def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text") -> Da
 
 def decode_ids(tokens: DataFrame, model_file: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``tokens`` with the text of the ids in ``ids_col``; null ids give an empty text."""
-    import pandas as pd
-
     pieces = Pieces(model_file)
 
     @F.pandas_udf("string")
