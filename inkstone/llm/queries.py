@@ -45,8 +45,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.htmltext import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_line_dedup": op6_line_dedup, "op8_decontamination": op8_decontamination, "op9_language_id": op9_language_id}
+    return {"op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_line_dedup": op6_line_dedup, "op8_decontamination": op8_decontamination, "op9_language_id": op9_language_id, "op10_html_text": op10_html_text}
 
 
 def oracle_sql() -> dict[str, str]:
