@@ -39,6 +39,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from inkstone.llm.tokenfile import read_checksums, write_tokens
+
+    return read_checksums(write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkstone.llm.langid import identify
 
@@ -52,7 +60,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_line_dedup": op6_line_dedup, "op8_decontamination": op8_decontamination, "op9_language_id": op9_language_id, "op10_html_text": op10_html_text}
+    return {"op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_line_dedup": op6_line_dedup, "op7_token_file": op7_token_file, "op8_decontamination": op8_decontamination, "op9_language_id": op9_language_id, "op10_html_text": op10_html_text}
 
 
 def oracle_sql() -> dict[str, str]:
