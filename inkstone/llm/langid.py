@@ -192,3 +192,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     filters = learn(rows.where(~held_out(id_col)), id_col, "_text", "_label", sample)
     out = predict_languages(rows.select(id_col, "_text"), filters, "_text")
     return out.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
+    """``docs`` without those in which no language is found: null texts, and texts without letters."""
+    filters = learn(docs.where(~held_out(id_col)), id_col, text_col, lang_col, sample)
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col).alias("_text"))
+    return predict_languages(own, filters, "_text").where(F.col("lang_pred") != UNKNOWN).select("_row.*")

@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -179,22 +180,26 @@ class Pieces:
                 found[k] = x
         return found
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text)."""
-        ids, decoded = hashlib.sha256(), hashlib.sha256()
-        n, first = 0, True
+    def coded(self, text: str | None) -> Iterator[tuple[bytes, bytes]]:
+        """(ids joined by commas, decoded) of each part of a text, a part a megabyte at most."""
+        first = True
         for part in _parts(text or ""):
             plain = part.replace("\n", " \n")
             if "  " in plain or MARK in plain or first and plain[0] == " ":
                 found = self.remembered(_CHUNK.findall((MARK if first else "") + part.replace(" ", MARK)), True)
             else:
                 found = self.remembered((plain if first else plain[1:]).split(" "), False)
-            joined = b",".join([x[0] for x in found])
-            n += joined.count(b",") + 1
-            ids.update(joined if first else b"," + joined)
             raw = b"".join([x[1] for x in found])
-            decoded.update(raw.removeprefix(b" ") if first else raw)
+            yield b",".join([x[0] for x in found]), raw.removeprefix(b" ") if first else raw
             first = False
+
+    def digest(self, text: str | None) -> tuple[int, str, str]:
+        """(number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text)."""
+        ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
+        for joined, raw in self.coded(text):
+            ids.update(b"," + joined if n else joined)
+            decoded.update(raw)
+            n += joined.count(b",") + 1
         return n, ids.hexdigest(), decoded.hexdigest()
 
 
@@ -211,22 +216,28 @@ def _parts(text: str, size: int = 1 << 20) -> Iterator[str]:
         yield text[at:]
 
 
-def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns ids (array of int) and decoded (string) added.
+def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids, round_trip) for every row; round_trip tells whether the ids decode to the text.
 
     Null and empty texts have no ids and decode to an empty text.  Characters that the model lacks
-    become the tokens of their bytes.  All rows stay, repeated ones too; columns named like the new
-    ones are replaced.  An empty table gives no rows.
+    become the tokens of their bytes.  Repeated rows and null ids stay.  An empty table gives no rows;
+    other columns are not read.
     """
     pieces = Pieces(model_file)
 
-    @F.pandas_udf("ids array<int>, decoded string")
-    def both(texts: pd.Series) -> pd.DataFrame:
-        ids = [pieces.encode(t) for t in texts]
-        return pd.DataFrame({"ids": ids, "decoded": [pieces.decode(i) for i in ids]})
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ids, same = [], []
+            for t in b.column(1).to_pylist():
+                parts = list(pieces.coded(t))
+                ids.append(np.fromstring(b",".join(p for p, _ in parts).decode(), np.int32, sep=",") if parts else np.zeros(0, np.int32))
+                same.append(b"".join(r for _, r in parts) == (t or "").encode())
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), lists, pa.array(same, pa.bool_())], [id_col, "n_tokens", "ids", "round_trip"])
 
     batches(docs.sparkSession)
-    return docs.drop("ids", "decoded").withColumn("_both", both(F.col(text_col))).select("*", "_both.ids", "_both.decoded").drop("_both")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode_ids(tokens: DataFrame, model_file: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

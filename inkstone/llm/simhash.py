@@ -280,3 +280,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = of.groupBy("root").agg(F.min("low").alias("component_id"))
     of = of.join(least, "root").select("fp", "component_id")
     return marked.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each component: a row of its smallest id.
+
+    Rows with a null id stay.  Of rows that share an id one stays.
+    """
+    found = simhash_components(docs, id_col, text_col, block)
+    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stays")).distinct()
+    kept = docs.join(stay, F.col(id_col) == F.col("_stays"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
