@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.neardup_vectors import vector_components
+
+    return vector_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,7 +66,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_line_dedup": op6_line_dedup, "op7_token_file": op7_token_file, "op8_decontamination": op8_decontamination, "op9_language_id": op9_language_id, "op10_html_text": op10_html_text}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_line_dedup": op6_line_dedup, "op7_token_file": op7_token_file, "op8_decontamination": op8_decontamination, "op9_language_id": op9_language_id, "op10_html_text": op10_html_text}
 
 
 def oracle_sql() -> dict[str, str]:
