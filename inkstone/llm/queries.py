@@ -19,6 +19,18 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.urlfilter import filter_urls
+
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,11 +78,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_line_dedup": op6_line_dedup, "op7_token_file": op7_token_file, "op8_decontamination": op8_decontamination, "op9_language_id": op9_language_id, "op10_html_text": op10_html_text}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_line_dedup": op6_line_dedup, "op7_token_file": op7_token_file, "op8_decontamination": op8_decontamination, "op9_language_id": op9_language_id, "op10_html_text": op10_html_text}
 
 
 def oracle_sql() -> dict[str, str]:
     from inkstone.llm.decontaminate import contaminated_sql
     from inkstone.llm.linededup import dropped_lines_sql
+    from inkstone.llm.urlfilter import filter_sql
 
-    return {"op6_line_dedup": dropped_lines_sql("documents", "source"), "op8_decontamination": contaminated_sql("documents", "benchmark")}
+    return {"op2_url_filter": filter_sql("pages"), "op6_line_dedup": dropped_lines_sql("documents", "source"), "op8_decontamination": contaminated_sql("documents", "benchmark")}
