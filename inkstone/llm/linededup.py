@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkstone.llm.common import written
+
 RATIO = 0.05
 MIN_PAGES = 5
 
@@ -51,7 +53,7 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     of ``docs`` that are named like a new one are replaced.
     """
     gone = boilerplate(docs, host_col, text_col, ratio, min_pages)
-    gone = gone.select(F.col("host").alias("_line_host"), F.col("gone").alias("_line_gone"))
+    gone = written(gone.select(F.col("host").alias("_line_host"), F.col("gone").alias("_line_gone")), "boilerplate")  # its size is known then
     joined = docs.drop("n_lines", "n_dropped").join(gone, F.col(host_col).eqNullSafe(F.col("_line_host")), "left")
     all_lines = lines(F.col(text_col))
     left = F.when(F.col("_line_gone").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(F.col("_line_gone"), line_key(x))))
