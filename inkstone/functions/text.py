@@ -72,19 +72,18 @@ def letters(n: Column) -> Column:
     return F.aggregate(digits, start, step, lambda a: a["s"])
 
 
-# ---- fixed values: numerals, by size
-ROMAN = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
-# ---- end of fixed values
+def _roman_digits(one: str, five: str, ten: str) -> list[str]:
+    return ["", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten]
+
+
+#: Numerals of each decimal digit, tens by tens; thousands repeat.
+ROMAN = [_roman_digits("C", "D", "M"), _roman_digits("X", "L", "C"), _roman_digits("I", "V", "X")]
 
 
 def roman(n: Column) -> Column:
     n = F.greatest(n.cast("int"), F.lit(1))
-    rest, parts = n, []
-    for value, sign in ROMAN:
-        times = F.floor(rest / value).cast("int")
-        parts.append(F.repeat(F.lit(sign), times))
-        rest = rest - times * value
-    return F.concat(*parts)
+    digit = lambda table, unit: F.element_at(F.array(*map(F.lit, table)), (F.floor(n / unit) % 10 + 1).cast("int"))
+    return F.concat(F.repeat(F.lit("M"), F.floor(n / 1000).cast("int")), *(digit(x, u) for x, u in zip(ROMAN, (100, 10, 1), strict=True)))
 
 
 def counter(n: Column, form: Column) -> Column:

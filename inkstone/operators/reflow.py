@@ -161,7 +161,7 @@ class Walk:
     def step(self, line) -> None:
         text, kind = line["text"], line["kind"]
         if kind == "empty":
-            if not self.keep_blank and self.buffer and (self.talking or not _nests(self.buffer) or self.last not in c.STRONG_END or not self.last):
+            if not self.keep_blank and self.buffer and (self.talking or not _nests(self.buffer) or self.last and self.last not in c.STRONG_END):
                 return
             self.flush("blank line")
         elif kind in ("divider", "marker", "custom title", "title", "metadata") or kind == "heading" and self.heading_stands(line):
