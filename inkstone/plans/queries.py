@@ -278,11 +278,12 @@ def roman_letters_counters(spark, sf):
     return d.select("l_orderkey", "l_linenumber", *(t.counter(n, F.lit(k)).alias(a) for k, a in (("decimalZero", "zero"), ("upperRoman", "roman"), ("lowerLetter", "letters"))))
 
 
-@query("selection_splice", "SELECT doc_id, CASE WHEN 5 + 10 <= length(text) THEN left(text, 5) || upper(substr(text, 6, 10)) || substr(text, 16) ELSE upper(text) END AS spliced FROM documents")
+@query("selection_splice", "SELECT doc_id, CASE WHEN 5 + 10 <= length(text) THEN left(text, 5) || replace(substr(text, 6, 10), 'e', 'E') || substr(text, 16) ELSE replace(text, 'e', 'E') END AS spliced FROM documents")
 def selection_splice(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     text = F.col("text")
-    part = F.when(F.length(text) >= 15, F.upper(F.substr(text, F.lit(6), F.lit(10)))).otherwise(F.upper(text))
+    large = lambda x: F.replace(x, F.lit("e"), F.lit("E"))
+    part = F.when(F.length(text) >= 15, large(F.substr(text, F.lit(6), F.lit(10)))).otherwise(large(text))
     return d.select("doc_id", t.splice(text, F.lit(5), F.lit(10), part).alias("spliced"))
 
 
