@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch.  Texts are long, so batches are kept small: a worker holds one at a time.
+#: Rows in an Arrow batch; Spark also bounds its bytes (spark.sql.execution.arrow.maxBytesPerBatch).
 BATCH_ROWS = 1000
 
 

@@ -347,7 +347,6 @@ def _read(parts: DataFrame, how, schema: str, id_col: str) -> DataFrame:
     starts = part_starts(parts)
     if parts.count() <= BROADCAST_PARTS:
         starts = F.broadcast(starts)
-    batches(parts.sparkSession, 1)
     return parts.join(starts, "part").select("part", "frequencies", "blocks", "start").mapInArrow(how, schema).withColumnRenamed("id", id_col)
 
 
