@@ -238,8 +238,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = dict(known.groupBy("toxic").count().collect())
     share = lambda toxic, most: F.lit(int(min(1.0, most / max(1, n.get(toxic, 0))) * (1 << 20)))
     known = known.where(~held_out("id") & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.when(F.col("toxic"), share(True, SAMPLE_TOXIC)).otherwise(share(False, SAMPLE_CLEAN))))
-    rows = docs.select(F.col(id_col).alias("doc"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text")).dropna().join(known, F.col("doc") == F.col("id"))
-    sample = sorted((r["id"], r["text"], int(r["toxic"])) for r in rows.select("id", "text", "toxic").collect())
+    rows = docs.select(F.col(id_col).alias("doc"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text")).dropna().join(F.broadcast(known), F.col("doc") == F.col("id"))  # the sample's ids: a few thousand at any size
+    rows = rows.groupBy("id", "toxic").agg(F.min("text").alias("text"))  # repeated ids don't lengthen the sample
+    sample = sorted((r["id"], r["text"], int(r["toxic"])) for r in rows.collect())
     return fit([t for _, t, _ in sample], [y for *_, y in sample])
 
 
