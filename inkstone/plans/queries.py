@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import chars as c
 from inkstone.functions import text as t
-from inkstone.operators import batch, overlay, quotes, reflow
+from inkstone.operators import batch, numbering, overlay, quotes, reflow, tables
 from inkstone.operators import dictionary as dic
 from inkstone.operators import predicates as p
 from inkstone.options import PdfOptions, ShortHeading
+from inkstone.sources.files import path_of_uri
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -519,3 +520,93 @@ def reflow_latin(spark, sf):
     """Latin texts leave reflow as they came."""
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     return reflow.reflow(d).where(p.latin_leading(F.col("text"))).select("doc_id", F.md5("reflowed").alias("digest"))
+
+
+# ---------------------------------------------------------------- lists, parts, slots and settings
+_PARAGRAPHS = """paragraphs AS (SELECT o_custkey AS doc_id, o_orderkey AS pos, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 2 END AS num_id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 4 END AS ilvl, 's' || (o_orderkey % 2) AS style_id FROM orders),
+    styles AS (SELECT c_custkey AS doc_id, 's1' AS style_id, 1 AS num_id, c_nationkey % 3 AS ilvl FROM customer),
+    r AS (SELECT p.doc_id, p.pos, coalesce(p.num_id, s.num_id) AS num, least(greatest(CASE WHEN p.num_id IS NOT NULL THEN coalesce(p.ilvl, 0) ELSE s.ilvl END, 0), 8) AS level FROM paragraphs p LEFT JOIN styles s USING (doc_id, style_id))"""
+
+
+def paragraphs(spark, sf):
+    o, key = spark.read.parquet(f"{sf}/orders.parquet"), F.col("o_orderkey")
+    p_ = o.select(F.col("o_custkey").alias("doc_id"), key.alias("pos"), F.when(key % 3 != 0, key % 2).alias("num_id"), F.when(key % 5 != 0, key % 4).alias("ilvl"), F.concat(F.lit("s"), (key % 2).cast("string")).alias("style_id"))
+    styles = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.lit("s1").alias("style_id"), F.lit(1).alias("num_id"), (F.col("c_nationkey") % 3).alias("ilvl"))
+    return numbering.resolved(p_, styles)
+
+
+_G = [f"sum(CASE WHEN level < {k} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, num ORDER BY pos) AS g{k}" for k in range(4)]
+_N = [f"(sum(CASE WHEN level = {k} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, num, g{k} ORDER BY pos))::BIGINT AS n{k}" for k in range(4)]
+
+
+@query("list_counters", f"WITH {_PARAGRAPHS}, g AS (SELECT *, {', '.join(_G)} FROM r WHERE num IS NOT NULL) SELECT doc_id, pos, num::BIGINT AS num, level::BIGINT AS level, {', '.join(_N)} FROM g")
+def list_counters(spark, sf):
+    return numbering.counters(paragraphs(spark, sf), 4)
+
+
+@query("list_levels", f"""WITH {_PARAGRAPHS}, nums AS (SELECT c_custkey AS doc_id, 1 AS num_id, c_nationkey % 2 AS abstract_id FROM customer), levels AS (SELECT c_custkey AS doc_id, c_nationkey % 2 AS abstract_id, c_nationkey % 3 AS ilvl, c_mktsegment AS num_fmt, '%' || (c_nationkey % 3 + 1) || '.' AS lvl_text FROM customer)
+    SELECT r.doc_id, r.pos, r.num::BIGINT AS num, r.level::BIGINT AS level, l.num_fmt, l.lvl_text FROM r LEFT JOIN nums n ON r.doc_id = n.doc_id AND r.num = n.num_id LEFT JOIN levels l ON r.doc_id = l.doc_id AND n.abstract_id = l.abstract_id AND r.level = l.ilvl""")
+def list_levels(spark, sf):
+    c_ = spark.read.parquet(f"{sf}/customer.parquet")
+    doc, kind, level = F.col("c_custkey").alias("doc_id"), (F.col("c_nationkey") % 2).alias("abstract_id"), F.col("c_nationkey") % 3
+    nums = c_.select(doc, F.lit(1).alias("num_id"), kind)
+    levels = c_.select(doc, kind, level.alias("ilvl"), F.col("c_mktsegment").alias("num_fmt"), F.concat(F.lit("%"), (level + 1).cast("string"), F.lit(".")).alias("lvl_text"))
+    return numbering.defined(paragraphs(spark, sf), nums, levels)
+
+
+_ENTRY = "CASE turn % 8 WHEN 0 THEN 'word/document.xml' WHEN 1 THEN 'word/header' || turn || '.xml' WHEN 2 THEN 'word/Footer' || (turn % 3) || '.xml' WHEN 3 THEN 'word/footer2.xml' WHEN 4 THEN 'word/media/i.png' WHEN 5 THEN 'word/comments.xml' WHEN 6 THEN 'word/HEADER1.xml' ELSE 'word/endnotes.xml' END"
+
+
+@query("part_order", f"""WITH e AS (SELECT conv_id AS doc_id, {_ENTRY} AS name FROM conversations), k AS (SELECT *, CASE lower(name) WHEN 'word/document.xml' THEN 1 WHEN 'word/footnotes.xml' THEN 2 WHEN 'word/endnotes.xml' THEN 3 WHEN 'word/comments.xml' THEN 4 ELSE CASE WHEN lower(name) LIKE 'word/header%.xml' THEN 5 WHEN lower(name) LIKE 'word/footer%.xml' THEN 6 END END AS rank FROM e),
+    one AS (SELECT doc_id, rank, upper(name) AS up, min(name) AS name FROM k WHERE rank IS NOT NULL GROUP BY ALL) SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY rank, up) AS part_no FROM one""")
+def part_order(spark, sf):
+    return tables.wanted_parts(spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.expr(_ENTRY).alias("name")))
+
+
+_ACTIVE = ["HKPhrases", "Zeta", "STPhrases", "Alpha", "STCharacters", "STPhrases"]
+
+
+@query("slot_order", f"WITH a AS (SELECT p_partkey, list_slice([{', '.join(map(repr, _ACTIVE))}], 1 + p_size % 3, 6) AS x FROM part) SELECT p_partkey, array_to_string(list_concat(list_filter([{', '.join(map(repr, tables.SLOT_ORDER))}], lambda s: list_contains(x, s)), list_filter(['Zeta', 'Alpha'], lambda s: list_contains(x, s))), ',') AS slots FROM a")
+def slot_order(spark, sf):
+    active = F.slice(F.array(*map(F.lit, _ACTIVE)), F.col("p_size") % 3 + 1, F.lit(6))
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.array_join(tables.ordered_slots(active), ",").alias("slots"))
+
+
+_SETTINGS = "d AS (SELECT 'a.' || c_custkey AS path, c_mktsegment AS value FROM customer), u AS (SELECT 'a.' || (c_custkey + 40) AS path, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS value FROM customer)"
+
+
+def _settings(spark, sf):
+    c_ = spark.read.parquet(f"{sf}/customer.parquet")
+    path = lambda k: F.concat(F.lit("a."), k.cast("string")).alias("path")
+    value = F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name"))
+    return c_.select(path(F.col("c_custkey")), F.col("c_mktsegment").alias("value")), c_.select(path(F.col("c_custkey") + 40), value.alias("value"))
+
+
+@query("settings_difference", f"WITH {_SETTINGS} SELECT * FROM u EXCEPT ALL SELECT * FROM d")
+def settings_difference(spark, sf):
+    return tables.flat_difference(*_settings(spark, sf))
+
+
+@query("settings_overlay", f"WITH {_SETTINGS} SELECT path, CASE WHEN u.path IS NOT NULL THEN u.value ELSE d.value END AS value FROM d FULL JOIN u USING (path)")
+def settings_overlay(spark, sf):
+    return tables.flat_overlay(*_settings(spark, sf))
+
+
+_HELD = "held AS (SELECT 'A_' || page_id % 20 || '.txt' AS path FROM pages)"
+
+
+@query("batch_new_files", f"WITH {_FILES}, {_HELD} SELECT ins, path FROM files WHERE upper(path) NOT IN (SELECT upper(path) FROM held)")
+def batch_new_files(spark, sf):
+    held = spark.read.parquet(f"{sf}/pages.parquet").select(F.concat(F.lit("A_"), (F.col("page_id") % 20).cast("string"), F.lit(".txt")).alias("path"))
+    return tables.new_files(files(spark, sf), held, ignore_case=True)
+
+
+@query("uri_paths", "SELECT page_id, '/' || regexp_extract(url, '://(.*)$', 1) || ' +' AS path FROM pages")
+def uri_paths(spark, sf):
+    uri = F.concat(F.lit("file:///"), F.regexp_extract("url", "://(.*)$", 1), F.lit("%20+"))
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", path_of_uri(uri).alias("path"))
+
+
+@query("count_labels", f"WITH {_OBJECTS} SELECT doc_id, max(page_no)::BIGINT AS n_pages, format('{{:,}}', sum(length(raw))::BIGINT) AS label FROM objects GROUP BY doc_id")
+def count_labels(spark, sf):
+    return objects(spark, sf).groupBy("doc_id").agg(F.max("page_no").alias("n_pages"), F.format_number(F.sum(F.length("raw")), 0).alias("label"))
