@@ -10,7 +10,7 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Keys beyond which matching goes through a trie in Arrow batches instead of one regular expression.
@@ -173,6 +173,18 @@ def detofu(text: Column, table: dict[str, str], level: str = "ExtB") -> Column:
 
 
 def latest_requests(requests: DataFrame, session: str, order: str) -> DataFrame:
-    """The last request of each session."""
-    w = Window.partitionBy(session).orderBy(F.desc(order))
-    return requests.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The last request of each session, by partial sums: no session's requests are sorted in one task."""
+    rest = [c for c in requests.columns if c != session]
+    last = F.max_by(F.struct(*rest), order).alias("_last")
+    return requests.groupBy(session).agg(last).select(session, *(F.col(f"_last.{c}").alias(c) for c in rest))
+
+
+def label(name: str, specs: list[tuple[str, str, str]]) -> str:
+    """A dictionary's name with the distinct slots that are customised, in their order."""
+    slots = list(dict.fromkeys(s for s, *_ in specs))
+    return f"{name} + {', '.join(slots)}" if slots else name
+
+
+def valid_specs(specs: DataFrame) -> DataFrame:
+    """Stored rows (ord, slot, mode, path) that can be used again; others are left out."""
+    return specs.where(F.col("slot").isin(SLOTS) & F.col("mode").isin("Append", "Override") & (F.trim("path") != ""))

@@ -54,6 +54,17 @@ def pdf_engine(engine: int, platform: str) -> int:
     return 2 if engine == 2 and platform in NATIVE_PLATFORMS else 1
 
 
+def engine_name(engine: int) -> str:
+    return "native" if engine == 2 else "managed"
+
+
+def check_batch(paths: list[str], folder_exists: bool, direction: str | None) -> None:
+    """What a batch needs before it starts."""
+    for missing, what in ((not paths, "files"), (not folder_exists, "an output folder"), (not direction, "a direction")):
+        if missing:
+            raise ValueError(f"the batch needs {what}")
+
+
 def detofu_level(label: str | None, prefixed: bool = True) -> str:
     """ExtB .. ExtI from a label; ``prefixed`` also reads the EXT-B form.  Anything else is ExtB."""
     s = (label or "").strip().upper()

@@ -431,9 +431,8 @@ def batch_log(spark, sf):
 
 @query("latest_request", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
 def latest_request(spark, sf):
-    """The last request of each session, by grouping: no session's requests are sorted in one task."""
-    e = spark.read.parquet(f"{sf}/events.parquet")
-    return e.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
+    e = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "event_type")
+    return dic.latest_requests(e, "user_id", "event_id")
 
 
 # ---------------------------------------------------------------- dictionaries

@@ -132,7 +132,18 @@ def test_conversion(spark):
         dic.check_specs([("STPhrases", "Append", "x"), ("STPhrases", "Other", "x")])
 
 
+def test_specs(spark):
+    rows = [(0, "STPhrases", "Append", "a"), (1, "Nope", "Append", "a"), (2, "STPhrases", "Override", " "), (3, "TWPhrases", "Override", "b")]
+    df = spark.createDataFrame(rows, "ord int, slot string, mode string, path string")
+    assert sorted(r.ord for r in dic.valid_specs(df).collect()) == [0, 3]
+    assert dic.label("base", []) == "base" and dic.label("base", [("b", "", ""), ("a", "", ""), ("b", "", "")]) == "base + b, a"
+    last = dic.latest_requests(spark.createDataFrame([(1, 5, "x"), (1, 9, "y"), (2, 1, "z")], "s int, n int, v string"), "s", "n")
+    assert sorted(map(tuple, last.collect())) == [(1, 9, "y"), (2, 1, "z")]
+
+
 def test_options():
+    with pytest.raises(ValueError, match="direction"):
+        options.check_batch(["a"], True, None)
     assert options.detofu_level("EXT-C") == "ExtC" and options.detofu_level("EXT-C", prefixed=False) == "ExtB" and options.detofu_level(None) == "ExtB"
     assert options.boundary_level(9) == 3 and options.pdf_engine(2, "linux-arm64") == 1
     base, user = {"a": {"b": 1, "c": [1, 2]}, "d": 2}, {"a": {"c": [3]}, "e": 5}
