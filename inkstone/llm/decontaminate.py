@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import batches
+from inkstone.llm.common import batches, written
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -213,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; rows with a null id stay."""
-    bad = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("_leak")).distinct()
+    bad = written(contaminated(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("_leak")).distinct(), "leaks")
     return docs.join(bad, F.col(id_col) == F.col("_leak"), "left_anti")
 
 

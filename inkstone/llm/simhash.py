@@ -287,7 +287,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows with a null id stay.  Of rows that share an id one stays.
     """
-    found = simhash_components(docs, id_col, text_col, block)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stays")).distinct()
-    kept = docs.join(stay, F.col(id_col) == F.col("_stays"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    found = written(simhash_components(docs, id_col, text_col, block).select(F.col(id_col).alias("_id"), "component_id"), "components")
+    # what goes is small beside what stays: its written size decides whether texts are shuffled at all
+    gone = written(found.where(F.col("_id") != F.col("component_id")).select("_id").distinct(), "copies")
+    again = written(found.where(F.col("_id") == F.col("component_id")).groupBy("_id").count().where("count > 1").select("_id"), "repeated-ids")
+    is_id = F.col(id_col) == F.col("_id")
+    stay = docs.join(gone, is_id, "left_anti")
+    once = stay.join(again, is_id, "left_semi").dropDuplicates([id_col])
+    return stay.join(again, is_id, "left_anti").unionByName(once)
