@@ -65,8 +65,8 @@ class Hash:
         return (h ^ (h >> 29)) * np.int64(0x1E3779B97F4A7C15)
 
 
-def units(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def units(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -115,7 +115,7 @@ def _batch(node, n=None, root=None, large=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(own + rest, _NAMES)
 
 
-def _spread(count: int):
+def _spread(count: int, kind: str):
     """Rows of every vector, one for each table."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +124,8 @@ def _spread(count: int):
             size = b.column(1).to_numpy()
             for length in np.unique(size).tolist():
                 part = b.filter(pa.array(size == length))
-                hasher = hashers.setdefault(length, Hash(length // 8, count))
-                keys = hasher(units(part.column(4).to_pylist()))
+                hasher = hashers.setdefault(length, Hash(length, count))
+                keys = hasher(units(part.column(4).to_pylist(), kind))
                 for k in range(count):
                     c = part.columns
                     yield pa.RecordBatch.from_arrays([c[0], c[1], pa.array(np.full(len(keys), k), pa.int32()), pa.array(np.ascontiguousarray(keys[:, k])), c[2], c[3], c[4]], ["label", "size", "tab", "key", "node", "weight", "vec"])
@@ -133,7 +133,7 @@ def _spread(count: int):
     return run
 
 
-def _verify(count: int, cosine: float, block: int):
+def _verify(count: int, cosine: float, block: int, kind: str):
     """Over rows sorted by bucket: results of each bucket; buckets beyond ``block`` rows also leave their blocks."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +145,8 @@ def _verify(count: int, cosine: float, block: int):
             nonlocal held, number, out, waiting
             if len(held) > 1:
                 node, weight = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-                hasher = hashers.setdefault(bucket[1], Hash(bucket[1] // 8, count))
-                i, j = links(units([h[2] for h in held]), None, bucket[2], hasher, cosine)
+                hasher = hashers.setdefault(bucket[1], Hash(bucket[1], count))
+                i, j = links(units([h[2] for h in held], kind), None, bucket[2], hasher, cosine)
                 if len(i):
                     out.append(_result(node, weight, i, j))
                     waiting += len(out[-1][0])
@@ -179,11 +179,11 @@ def _verify(count: int, cosine: float, block: int):
     return run
 
 
-def _cell(count: int, cosine: float):
+def _cell(count: int, cosine: float, kind: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         low = (pdf["block"] == pdf["i"]).to_numpy()
-        x, y = units(list(pdf["vec"][low])), units(list(pdf["vec"][~low]))
-        i, j = links(x, y, int(pdf["tab"].iat[0]), Hash(int(pdf["size"].iat[0]) // 8, count), cosine)
+        x, y = units(list(pdf["vec"][low]), kind), units(list(pdf["vec"][~low]), kind)
+        i, j = links(x, y, int(pdf["tab"].iat[0]), Hash(int(pdf["size"].iat[0]), count), cosine)
         node = np.concatenate([pdf["node"][low], pdf["node"][~low]]).astype(np.int64)
         weight = np.concatenate([pdf["weight"][low], pdf["weight"][~low]]).astype(np.int64)
         node, n, root = _result(node, weight, i, j + len(x)) if len(i) else (node[:0], node[:0], node[:0])
@@ -192,14 +192,18 @@ def _cell(count: int, cosine: float):
     return run
 
 
-def _packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as bytes in double precision; null where they link with nothing."""
-    for b in it:
-        vec = []
-        for v in b.column(2).to_pylist():
-            x = np.array([np.nan if e is None else e for e in v or [0.0]], np.float64)
-            vec.append(x.astype("<f8").tobytes() if np.isfinite(x).all() and x.any() else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(vec, pa.binary())], ["id", "label", "vec"])
+def _packed(kind: str):
+    """Vectors as bytes in the column's own precision; null where they link with nothing."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            vec = []
+            for v in b.column(2).to_pylist():
+                x = np.array([np.nan if e is None else e for e in v or [0.0]], np.float64)
+                vec.append(x.astype(kind).tobytes() if np.isfinite(x).all() and x.any() else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(vec, pa.binary())], ["id", "label", "vec"])
+
+    return run
 
 
 def vector_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, miss: float = MISS, block: int = BLOCK) -> DataFrame:
@@ -213,13 +217,15 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     spark = vectors.sparkSession
     batches(spark, 2000)
     count = tables(cosine, miss=miss)
-    rows = written(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(_packed, "id long, label long, vec binary"), "vectors")
+    kind = "<f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"  # what is shuffled; cosines are double
+    v = F.col(vec_col) if kind == "<f4" else F.col(vec_col).cast("array<double>")
+    rows = written(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), v.alias("v")).mapInArrow(_packed(kind), "id long, label long, vec binary"), "vectors")
     own = rows.where("label is not null and vec is not null")
     reps = own.groupBy("label", "vec").agg(F.min("id").alias("low"), F.count("*").alias("weight"))
     reps = written(reps.select("*", F.monotonically_increasing_id().alias("node")), "distinct-vectors")
-    spread = reps.select("label", F.length("vec").cast("int").alias("size"), "node", "weight", "vec").mapInArrow(_spread(count), _ROW)
+    spread = reps.select("label", (F.length("vec") / int(kind[-1])).cast("int").alias("size"), "node", "weight", "vec").mapInArrow(_spread(count, kind), _ROW)
     dealt = spread.repartition("label", "size", "tab", "key").sortWithinPartitions("label", "size", "tab", "key")
-    found = written(dealt.mapInArrow(_verify(count, cosine, block), _OUT), "links")
+    found = written(dealt.mapInArrow(_verify(count, cosine, block, kind), _OUT), "links")
     result = found.where("n is not null").select("node", "n", "root")
     large = found.where("n is null").drop("n", "root")
     if not large.isEmpty():
@@ -227,7 +233,7 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
         top = large.groupBy(key).agg(F.max("block").alias("top"))
         cells = large.join(top, key).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "top"))).where("other <> block")
         cells = cells.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("top", "other")
-        result = result.union(written(cells.groupBy(*key, "i", "j").applyInPandas(_cell(count, cosine), "node long, n long, root long"), "links"))
+        result = result.union(written(cells.groupBy(*key, "i", "j").applyInPandas(_cell(count, cosine, kind), "node long, n long, root long"), "links"))
     n = result.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(result, "node", "root").withColumnRenamed("node", "inner")
     of = reps.join(n, "node", "left").join(roots, F.col("node") == F.col("inner"), "left")
