@@ -65,21 +65,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of each word in UTF-8 bytes that are lower case already, by polynomials over blocks of bytes."""
     starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
     while at < len(data):
         end = min(at + BLOCK, len(data))
         if end < len(data):  # cut between words; a word that fills a block makes it longer
-            gaps = np.flatnonzero(~_IS_WORD[data[at:end]])
+            gaps = np.flatnonzero(~is_word[data[at:end]])
             if len(gaps):
                 end = at + int(gaps[-1]) + 1
             else:
-                while end < len(data) and _IS_WORD[data[end]]:
+                while end < len(data) and is_word[data[end]]:
                     end += 1
         part = data[at:end]
         powers, inverse = _tables(len(part))
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], _IS_WORD[part], [False]]).view(np.int8)))
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], is_word[part], [False]]).view(np.int8)))
         start, stop = edge[::2], edge[1::2]
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers[: len(part)], out=total[1:])
@@ -106,11 +106,11 @@ def shingle_hashes(h: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     return _mixed(out)
 
 
-def text_hashes(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def text_hashes(texts: list[str], width: int = SHINGLE, is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of each shingle of whole texts, repeats included; texts hold no NUL."""
     data = np.frombuffer("\0".join(texts).lower().encode("utf-8", "replace"), np.uint8)
     texts_at = np.concatenate([[0], np.flatnonzero(data == 0) + 1])
-    start, h = word_hashes(data)
+    start, h = word_hashes(data, is_word)
     of = np.searchsorted(texts_at, start, "right") - 1
     row, s = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(h) >= width:

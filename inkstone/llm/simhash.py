@@ -287,7 +287,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows with a null id stay.  Of rows that share an id one stays.
     """
-    found = written(simhash_components(docs, id_col, text_col, block).select(F.col(id_col).alias("_id"), "component_id"), "components")
+    return one_of_each(docs, simhash_components(docs, id_col, text_col, block), id_col)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component of ``found`` (id, component_id), as ``deduplicate`` says."""
+    found = written(found.select(F.col(id_col).alias("_id"), "component_id"), "components")
     # what goes is small beside what stays: its written size decides whether texts are shuffled at all
     gone = written(found.where(F.col("_id") != F.col("component_id")).select("_id").distinct(), "copies")
     again = written(found.where(F.col("_id") == F.col("component_id")).groupBy("_id").count().where("count > 1").select("_id"), "repeated-ids")

@@ -209,6 +209,61 @@ def test_simhash(spark):
     assert simhash_components(d.limit(0)).count() == 0
 
 
+# ---------------------------------------------------------------- near-dedup by shingles
+def slow_shingles(t):
+    w = re.sub("[ \\t\\n\\v\\f\\r\\0]+", " ", (t or "").lower()).strip(" ")
+    w = w.split(" ") if w else []
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_texts(spark):
+    from inkstone.llm.neardup_texts import deduplicate, similar_components
+    from inkstone.llm.simhash import deduplicate as by_simhash
+
+    rng = np.random.default_rng(5)
+    words = ["w%d" % i for i in range(900)]
+    rows = []
+    for i in range(80):
+        w = rng.choice(words, int(rng.integers(30, 300))).tolist()
+        rows.append((10 * i, " ".join(w), "en", "s"))
+        for k in range(1, 8):  # copies whose similarities lie on both sides of 0.8
+            v = list(w)
+            for at in rng.choice(len(v), max(1, int(len(v) * k / 120)), replace=False):
+                v[int(at)] = "Changed%d" % k
+            rows.append((10 * i + k, " ".join(v), "en", "s"))
+    shared = rng.choice(words, 60).tolist()
+    rows += [(5000 + i, " ".join(shared + rng.choice(words, 60).tolist()), "en", "s") for i in range(40)]  # a common passage links nothing
+    rows += [(9000, None, None, None), (9001, "", None, None), (9002, "one two", None, None), (9003, "ONE\ttwo", None, None), (10, rows[8][1], "en", "s"), (None, "one two", None, None), (9004, "long " * 20000, None, None), (9005, "\0 ", None, None)]
+    own = [slow_shingles(t) for _, t, *_ in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j])]
+    root = union_find(len(rows), near)
+    low = {}
+    for (i, *_), r in zip(rows, root, strict=True):
+        if i is not None:
+            low[r] = min(i, low.get(r, i))
+    want = sorted(repr((i, low.get(r))) for (i, *_), r in zip(rows, root, strict=True))
+    d = docs(spark, rows)
+    for options in ({}, {"block": 3}, {"shingles": 500}):
+        assert sorted(repr(tuple(r)) for r in similar_components(d, **options).collect()) == want, options
+    kept = sorted(r.doc_id for r in deduplicate(d).where("doc_id is not null").collect())
+    assert kept == sorted(set(low.values())) and len(kept) < by_simhash(d).where("doc_id is not null").count()
+    assert deduplicate(d.limit(0)).count() == 0 and deduplicate(d).columns == d.columns
+
+
+def test_near_texts_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(2)
+    w = ["w%d" % i for i in rng.integers(0, 5000, 400)]
+    rows = [(1, " ".join(w), "en", "s")]
+    for i in range(2, 12):  # eight of 400 words apart: similarity 0.82
+        v = list(w)
+        for k in range(8):
+            v[20 + 45 * k] = f"other{i}"
+        rows.append((i, " ".join(v), "en", "s"))
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect()] == [1]
+
+
 # ---------------------------------------------------------------- op6
 def test_line_dedup(spark):
     from inkstone.llm.linededup import drop_boilerplate
