@@ -120,10 +120,14 @@ def convert_batches(text: Column, table: dict[str, str]) -> Column:
     return run(text)
 
 
+def round_tables(config: str, tables: dict[str, dict[str, str]] | None = None, punctuation: bool = False) -> list[dict[str, str]]:
+    """One table for each round of a configuration."""
+    return [{k: v for k, v in round_table(slots, SAMPLE if tables is None else tables).items() if k} for slots in rounds(config, punctuation)]
+
+
 def convert(text: Column, config: str, tables: dict[str, dict[str, str]] | None = None, punctuation: bool = False) -> Column:
     """A text through a configuration's rounds; null stays null, what no key covers stays."""
-    for slots in rounds(config, punctuation):
-        table = {k: v for k, v in round_table(slots, SAMPLE if tables is None else tables).items() if k}
+    for table in round_tables(config, tables, punctuation):
         text = convert_expression(text, table) if len(table) <= EXPRESSION_KEYS else convert_batches(text, table)
     return text
 

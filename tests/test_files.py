@@ -87,6 +87,26 @@ def test_office(spark):
     assert containers.docx_text(bytes(got["/a/b.docx"].content)).startswith("你好\t國")
 
 
+def test_batch_of_containers(spark, tmp_path):
+    sheet = zipped(**{"xl/sharedStrings.xml": "<sst><t>中国</t></sst>", "xl/styles.xml": "<a>国</a>"})
+    rows = [("/a/t.xlsx", sheet), ("/a/w.docx", b"PK no zip"), ("/a/v.pptx", zipped(x="国")), ("/a/e.txt", "中国".encode())]
+    out = jobs.convert_files(all_files(spark).select("path", "content").where("path like '%.docx' or path like '%.epub'").union(frame(spark, rows).select("path", "content")), "s2t").cache()
+    got = {r.path: r for r in out.collect()}
+    with zipfile.ZipFile(io.BytesIO(got["/a/t.xlsx"].content)) as z:
+        assert z.read("xl/sharedStrings.xml").decode() == "<sst><t>中國</t></sst>" and z.read("xl/styles.xml").decode() == "<a>国</a>"
+    assert got["/a/t.xlsx"].status == "converted" and got["/a/t.xlsx"].text is None and got["/a/t.xlsx"].out_name == "t_Hant.xlsx"
+    assert all(got[p].status == "skipped" and got[p].content is None and got[p].message for p in ("/a/w.docx", "/a/v.pptx"))
+    assert containers.docx_text(bytes(got["/a/b.docx"].content)).startswith("你好\t國") and got["/a/d.epub"].content[:2] == b"PK"
+    assert bytes(got["/a/e.txt"].content).decode() == got["/a/e.txt"].text == "中國"
+    opened = {r.path: r for r in jobs.opened(frame(spark, rows)).collect()}
+    assert opened["/a/t.xlsx"].text is None and opened["/a/t.xlsx"].error and opened["/a/w.docx"].error
+    sinks.write_files(out.where("content is not null").withColumnRenamed("out_name", "name"), str(tmp_path), data_col="content").collect()
+    assert zipfile.is_zipfile(tmp_path / "b_Hant.docx")
+    two = office.convert_containers(spark.createDataFrame([("p", sheet, "xlsx")], "path string, content binary, format string"), [{"国": "國"}, {"中國": "X"}]).first()
+    with zipfile.ZipFile(io.BytesIO(two.content)) as z:
+        assert "<t>X</t>" in z.read("xl/sharedStrings.xml").decode()
+
+
 def test_pages_of_a_plugged_extractor(spark):
     got = files.pdf_pages(frame(spark, [("a", b"x|y"), ("b", None)]), lambda c: bytes(c).decode().split("|")).collect()
     assert sorted((r.path, r.page_no, r.text) for r in got if r.error is None) == [("a", 1, "x"), ("a", 2, "y")]
