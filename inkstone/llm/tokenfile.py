@@ -39,7 +39,7 @@ CHECKPOINT = 256
 #: Ids after which a block ends with its document, and a part.
 BLOCK_IDS, PART_IDS = 1 << 19, 1 << 22
 #: Words that a worker remembers in each of two generations, and characters that are split at once.
-MEMO, SPLIT = 400_000, 4_000_000
+MEMO, SPLIT = 600_000, 4_000_000
 #: Parts whose places (16 bytes each) are broadcast; more are joined.
 BROADCAST_PARTS = 500_000
 _LOW = 1 << 31  # a state is at least this, and less than 2**63
@@ -157,14 +157,14 @@ def decode_block(payload: bytes, table: Table, first: int = 0, last: int | None
 
 
 # ---------------------------------------------------------------- tokenizing
-#: Stands before a text's first word.
-START = "\x1b"
+#: Stands before a text's first word, and behind a chunk that is cut into words; texts with either are left to the library.
+START, GAP = "\x1b", "\x1c"
 _LATIN = "A-Za-zÀ-ÖØ-öø-ſ"
 _MARKS = "\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027\u2030-\u203e\u20ac"
 #: Texts of these characters are split here; what is a letter, a digit or white space in others is left to the library.
 _OTHER = re.compile(f"[^\x00-\x1b\x20-\x7f{_LATIN}{_MARKS}]")
 #: The splitting of byte-level BPE (fixed pattern of the public tokenizer) for Latin letters.
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s0-9{_LATIN}]+|\s+(?!\S)|\s+")
+_SPLIT = re.compile(rf"{GAP}|'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s0-9{_LATIN}]+|[\t-\r ]+(?!\S)|[\t-\r ]+")
 
 
 def _byte_letters() -> list[str]:
@@ -180,39 +180,61 @@ class Memo:
     def __init__(self, make):
         self.make, self.new, self.old = make, {}, {}
 
-    def __call__(self, key: str) -> bytes:
-        x = self.new.get(key)
-        if x is None:
+    def of(self, keys: list[str]) -> list[bytes]:
+        found = list(map(self.new.get, keys))
+        if None in found:
             if len(self.new) > MEMO:
                 self.old, self.new = self.new, {}
-            x = self.old.get(key)
-            if x is None:
-                x = self.make(key)
-            self.new[key] = x
-        return x
+            new, old = self.new, self.old
+            for k, x in enumerate(found):
+                if x is None:
+                    key = keys[k]
+                    if (x := new.get(key)) is None:
+                        x = new[key] = old.get(key) or self.make(key)
+                    found[k] = x
+        return found
 
 
-class Words:
-    """Ids of texts by the tokenizers library, whose model is asked once for each word that a worker remembers."""
+class _Library:
+    """The tokenizers library's model, and the ids of the words that were asked for."""
 
     def __init__(self, data: str):
-        self.data, self.tokenizer = data, None
-
-    def __getstate__(self) -> dict:
-        return {"data": self.data, "tokenizer": None}
-
-    def _ready(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(self.data)
+        self.tokenizer = Tokenizer.from_str(data)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("a tokenizer with at most 65,536 ids is needed")
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in json.loads(self.data)["added_tokens"]) or "(?!)")
-        tokenize, letters = self.tokenizer.model.tokenize, dict(enumerate(_byte_letters()))
-        word = Memo(lambda w: array("H", [t.id for t in tokenize((w if w.isascii() else w.encode().decode("latin-1")).translate(letters))]).tobytes())
-        # what stands between spaces, without the space in front; a text's first has START in front
-        self.chunk = Memo(lambda c: b"".join(map(word, _SPLIT.findall(c[1:] if c[:1] == START else " " + c))))
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in json.loads(data)["added_tokens"]) or "(?!)")
+        self.letters = dict(enumerate(_byte_letters()))
+        self.words = Memo(self._word)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word by the model, which reads letters that stand for bytes."""
+        if word == GAP:
+            return b""
+        if word.isascii():
+            seen = word.replace(" ", self.letters[32]) if word.isprintable() else word.translate(self.letters)
+        else:
+            seen = word.encode().decode("latin-1").translate(self.letters)
+        return array("H", [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
+
+
+#: The last library of a worker, which keeps its words from task to task.
+_LAST: dict[str, _Library] = {}
+
+
+class Words:
+    """Ids of texts by the tokenizers library, whose model is asked once for each word that a worker remembers."""
+
+    def __init__(self, data: str):
+        self.data = data
+
+    def library(self) -> _Library:
+        if self.data not in _LAST:
+            _LAST.clear()
+            _LAST[self.data] = _Library(self.data)
+        return _LAST[self.data]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 16-bit integers; none for null and empty texts.
@@ -220,16 +242,15 @@ class Words:
         A word, with the space in front, is encoded alone by this kind of tokenizer.  Texts with runs of
         spaces and with other than Latin letters, and very long ones, are given to the library whole.
         """
-        if self.tokenizer is None:
-            self._ready()
+        library = self.library()
         out = [b""] * len(texts)
         part: list[tuple[int, str]] = []
         size = 0
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if len(t) > SPLIT or "  " in t or START in t or _OTHER.search(t) or self.special.search(t):
-                out[i] = array("H", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
+            if len(t) > SPLIT or "  " in t or START in t or _OTHER.search(t) or library.special.search(t):
+                out[i] = array("H", library.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
                 continue
             part.append((i, t))
             size += len(t)
@@ -241,10 +262,15 @@ class Words:
         return out
 
     def _encode(self, part: list[tuple[int, str]], out: list[bytes]) -> None:
+        """Texts are cut at spaces, each different chunk is cut into words once, and the words are looked up."""
         lists = pc.split_pattern(pa.array([START + t for _, t in part], pa.string()), " ")
         chunks = lists.values.dictionary_encode()
-        ids = pa.array(list(map(self.chunk, chunks.dictionary.to_pylist())), pa.binary()).take(chunks.indices)
-        for (i, _), x in zip(part, pc.binary_join(pa.ListArray.from_arrays(lists.offsets, ids), b"").to_pylist(), strict=True):
+        different = pa.ListArray.from_arrays(pa.array([0, len(chunks.dictionary)], pa.int32()), chunks.dictionary)
+        words = _SPLIT.findall(f" {pc.binary_join(different, GAP + ' ')[0]}{GAP}".replace(" " + START, ""))
+        ends = np.flatnonzero(np.fromiter(map(GAP.__eq__, words), bool, len(words))) + 1
+        ids = pa.array(self.library().words.of(words), pa.binary())
+        of_chunk = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), ids), b"")
+        for (i, _), x in zip(part, pc.binary_join(pa.ListArray.from_arrays(lists.offsets, of_chunk.take(chunks.indices)), b"").to_pylist(), strict=True):
             out[i] = x
 
 
@@ -293,23 +319,29 @@ def _write(words: Words, end_id: int):
 def write_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Write the ids of all texts to files in the shared folder, and return the table of parts there.
 
-    Documents stand in ascending order of their ids, nulls first; of repeated ids the shorter and then
-    the smaller text first.  Null and empty texts are their end id alone.  An empty table has no parts.
-    Other columns are not read.
+    Documents stand in ascending order of their ids, nulls first; of repeated ids null texts first, then the
+    shorter, then by a hash of the text, then as they stand in the table, so that not even the rows of one id
+    need to fit one task.  Null and empty texts are their end id alone; very long texts are one document of
+    one block.  An empty table has no parts.  Other columns are not read.
     """
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
         words = Words(f.read())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange("id").sortWithinPartitions("id", F.length("text"), "text")
+    order = ["id", F.length("text"), F.xxhash64("text"), "row"]
+    dealt = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("row")
     batches(spark)
     return written(dealt.mapInArrow(_write(words, end_id), _PART_SCHEMA), "tokens")
 
 
 def part_starts(parts: DataFrame) -> DataFrame:
-    """(part, start): the ids of all parts before each."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row of two numbers for each part
-    return parts.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    """(part, start): the ids of all parts before each, by sums over the tasks that wrote them and then within each."""
+    own = parts.select("part", "n_ids", F.floor(F.col("part") / _PARTS_A_TASK).alias("task"))
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # two numbers for each writing task
+    base = own.groupBy("task").agg(F.sum("n_ids").alias("n")).select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("task").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("inner", F.coalesce(F.sum("n_ids").over(within), F.lit(0)))
+    return own.join(base, "task").select("part", (F.col("base") + F.col("inner")).alias("start"))
 
 
 def _decoded(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list, np.ndarray]]:
