@@ -18,6 +18,8 @@ from inkstone.llm.common import dropped, written
 
 #: Edges that a task contracts at once; bounds its memory.
 CHUNK = 1_000_000
+#: Nodes with many edges that are broadcast, at most, and the edges that make a node one of them, at least.
+HUBS, LEAST_HUB = 1000, 1000
 _SCHEMA = "u long, v long"
 
 
@@ -62,13 +64,25 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _star(e: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges u > v."""
+def _with_low(e: DataFrame, edges: int) -> DataFrame:
+    """Edges (u, v) with m, the least v of each u.
+
+    A node of many edges would be one task's work in a join: those of more than a thousandth of all edge
+    ends, which are HUBS at most, are broadcast, so that only the others' edges are dealt by node.
+    """
+    low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    limit = max(LEAST_HUB, 2 * edges // HUBS)
+    hubs = F.broadcast(low.where(F.col("n") > limit).select("u", "m"))
+    rest = low.where(F.col("n") <= limit).select("u", "m")
+    return e.join(hubs, "u", "left_anti").join(rest, "u").unionByName(e.join(hubs, "u"))
+
+
+def _star(e: DataFrame, edges: int) -> DataFrame:
+    """One large-star and one small-star step over edges u > v, of which there are so many."""
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(low, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+    m = F.least("u", "m")
+    large = _with_low(both, edges).where((F.col("v") > F.col("u")) & (F.col("v") > m)).select(F.col("v").alias("u"), m.alias("v")).distinct()
+    small = _with_low(large, edges).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
     return small.select("x.u", "x.v").where("u > v").distinct()
 
 
@@ -85,5 +99,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if now == last or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         last, old = now, e
-        e = written(_star(e).mapInArrow(_contract, _SCHEMA), "edges")
+        e = written(_star(e, now[0]).mapInArrow(_contract, _SCHEMA), "edges")
         dropped(old)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import batches, written
+from inkstone.llm.common import fresh, sliced, written
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -151,7 +151,7 @@ def sketches(items: list[tuple[int, str]], containment: float = CONTAINMENT, wid
 def _search(items: list[tuple[int, str]], containment: float, width: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, of, own = sketches(items, containment, width)
-        for b in it:
+        for b in sliced(it):
             out: list[tuple] = []
             texts = pc.fill_null(b.column(1), "").to_pylist()
             for part in _parts(texts):
@@ -198,7 +198,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Repeated rows give repeated pairs; repeated item ids are items of their own.  Empty tables give no
     rows; other columns are not read.
     """
-    batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, item long, n_shared long, n_item long"
     found, block = own.where("false").selectExpr("id", "id as item", "id as n_shared", "id as n_item"), []
@@ -213,8 +212,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; rows with a null id stay."""
-    bad = written(contaminated(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("_leak")).distinct(), "leaks")
-    return docs.join(bad, F.col(id_col) == F.col("_leak"), "left_anti")
+    leak = fresh("_leak", docs)
+    bad = written(contaminated(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias(leak)).distinct(), "leaks")
+    return docs.join(bad, F.col(id_col) == F.col(leak), "left_anti")
 
 
 def contaminated_sql(docs: str, benchmark: str, containment: float = CONTAINMENT, width: int = SHINGLE) -> str:

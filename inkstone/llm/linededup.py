@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import written
+from inkstone.llm.common import fresh, written
 
 RATIO = 0.05
 MIN_PAGES = 5
@@ -24,26 +24,36 @@ def lines(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    """What stands for a line: 96 bits of two unrelated hashes, as lines are too long to be shuffled."""
-    return F.struct(F.xxhash64(line).alias("x"), F.hash(line).alias("m"))
+    """What stands for a line, as lines are too long to be shuffled: 64 bits.
+
+    A line goes wrongly only if it shares its key with a boilerplate line of its host: with 3e11 different
+    lines of a host and 100 boilerplate lines, 2e-6 lines are expected to.
+    """
+    return F.xxhash64(line)
 
 
-def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = True) -> DataFrame:
     """(host, n_pages, gone): the keys of the lines to drop, for each host that has any.
 
-    Empty lines are not counted.  Null hosts are one host; null texts are no pages.
+    Empty lines are not counted.  Null hosts are one host; null texts are no pages.  With ``distinct``,
+    pages of a host with the same text are one page; without, each row is a page.
     """
     own = pages.select(F.col(host_col).alias("host"), F.col(text_col).alias("text")).where("text is not null")
     keys = F.array_distinct(F.transform(F.filter(lines(F.col("text")), lambda x: F.length(x) > 0), line_key))
-    once = own.select("host", line_key(F.col("text")).alias("page"), keys.alias("keys")).groupBy("host", "page").agg(F.first("keys").alias("keys"))
+    if distinct:
+        page = F.struct(F.xxhash64("text").alias("x"), F.hash("text").alias("m"))
+        once = own.select("host", page.alias("page"), keys.alias("keys")).groupBy("host", "page").agg(F.first("keys").alias("keys"))
+        total = own.select("host", page.alias("page")).distinct()
+    else:
+        once, total = own.select("host", keys.alias("keys")), own
     once = once.select("host", F.explode("keys").alias("k"))
-    total = own.select("host", line_key(F.col("text")).alias("page")).distinct().groupBy(F.col("host").alias("site")).agg(F.count("*").alias("n_pages"))
+    total = total.groupBy(F.col("host").alias("site")).agg(F.count("*").alias("n_pages"))
     counted = once.groupBy("host", "k").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     often = counted.join(total, F.col("host").eqNullSafe(F.col("site"))).where(F.col("n") > F.lit(ratio) * F.col("n_pages"))
     return often.groupBy("host", "n_pages").agg(F.collect_list("k").alias("gone"))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = True) -> DataFrame:
     """``docs`` with boilerplate lines taken from ``text_col`` and two more columns, n_lines and n_dropped.
 
     The other lines keep their order and bytes, and are joined by a newline.  Null texts stay null with
@@ -52,17 +62,21 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     go.  Hosts with fewer than ``min_pages`` pages lose nothing.  An empty table gives no rows.  Columns
     of ``docs`` that are named like a new one are replaced.
     """
-    gone = boilerplate(docs, host_col, text_col, ratio, min_pages)
-    gone = written(gone.select(F.col("host").alias("_line_host"), F.col("gone").alias("_line_gone")), "boilerplate")  # its size is known then
-    joined = docs.drop("n_lines", "n_dropped").join(gone, F.col(host_col).eqNullSafe(F.col("_line_host")), "left")
+    docs = docs.drop("n_lines", "n_dropped")
+    site, gone, left = fresh("_site", docs), fresh("_gone", docs), fresh("_left", docs)
+    found = boilerplate(docs, host_col, text_col, ratio, min_pages, distinct)
+    found = written(found.select(F.col("host").alias(site), F.col("gone").alias(gone)), "boilerplate")  # its size is known then
+    joined = docs.join(found, F.col(host_col).eqNullSafe(F.col(site)), "left")
     all_lines = lines(F.col(text_col))
-    left = F.when(F.col("_line_gone").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(F.col("_line_gone"), line_key(x))))
-    out = joined.withColumn("_line_left", left)
+    # the page's own boilerplate by one hashed intersection, then each line is looked up among those few
+    own = F.array_intersect(F.transform(all_lines, line_key), F.col(gone))
+    kept = F.transform(F.array(own), lambda bad: F.filter(all_lines, lambda x: ~F.array_contains(bad, line_key(x))))[0]
+    out = joined.withColumn(left, F.when(F.col(gone).isNull(), all_lines).otherwise(kept))
     n = F.coalesce(F.size(all_lines), F.lit(0))
-    n_left = F.coalesce(F.size("_line_left"), F.lit(0))
+    n_left = F.coalesce(F.size(left), F.lit(0))
     zero = F.col(text_col).isNull()
     out = out.withColumns({"n_lines": F.when(zero, 0).otherwise(n).cast("long"), "n_dropped": F.when(zero, 0).otherwise(n - n_left).cast("long")})
-    return out.withColumn(text_col, F.when(F.col("n_dropped") == 0, F.col(text_col)).otherwise(F.array_join("_line_left", "\n"))).drop("_line_host", "_line_gone", "_line_left")
+    return out.withColumn(text_col, F.when(F.col("n_dropped") == 0, F.col(text_col)).otherwise(F.array_join(left, "\n"))).drop(site, gone, left)
 
 
 def dropped_lines_sql(table: str, host: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:

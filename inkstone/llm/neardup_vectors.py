@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import batches, written
+from inkstone.llm.common import sliced, written
 from inkstone.llm.components import components, forest
 
 COSINE = 0.93
@@ -196,7 +196,7 @@ def _packed(kind: str):
     """Vectors as bytes in the column's own precision; null where they link with nothing."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in sliced(it):
             vec = []
             for v in b.column(2).to_pylist():
                 x = np.array([np.nan if e is None else e for e in v or [0.0]], np.float64)
@@ -215,7 +215,6 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     id, or null where it has none.  An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
-    batches(spark, 2000)
     count = tables(cosine, miss=miss)
     kind = "<f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"  # what is shuffled; cosines are double
     v = F.col(vec_col) if kind == "<f4" else F.col(vec_col).cast("array<double>")

@@ -23,10 +23,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import batches, written
+from inkstone.llm.common import dropped, fresh, sliced, written
 from inkstone.llm.components import components
 
 SHINGLE = 4
@@ -61,9 +61,9 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
 
 
 def _fingerprints(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
+    for b in sliced(it):
         fp = np.fromiter((fingerprint(t) for t in b.column(1).to_pylist()), np.int64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], ["id", "t", "fp"])
 
 
 # ---------------------------------------------------------------- Golay keys
@@ -263,6 +263,34 @@ def fingerprint_edges(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return edges
 
 
+def row_hash(text_col: str) -> Column:
+    """What tells apart rows that share an id."""
+    return F.xxhash64(F.col(text_col))
+
+
+def first_rows(marked: DataFrame) -> DataFrame:
+    """(fp, low, ...) of rows (id, t, fp, ...): the smallest id with a text's hash that has each fingerprint."""
+    return marked.groupBy("fp").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "t"))).alias("low"))
+
+
+def rooted(marked: DataFrame, fps: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, t, fp, low) for every row of ``marked``: low is the smallest (id, t) of the row's component."""
+    of = fps.join(roots, fps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    least = of.groupBy("root").agg(F.min("low").alias("low"))
+    of = of.select("fp", "root").join(least, "root").select("fp", "low")
+    return marked.select("id", "t", "fp").join(of, "fp")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
+    marked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row_hash(text_col).alias("t"))
+    marked = written(marked.mapInArrow(_fingerprints, "id long, t long, fp long"), "fingerprints")
+    fps = written(first_rows(marked), "distinct-fingerprints")
+    edges = fingerprint_edges(fps, block)
+    roots = components(edges, "a", "b")
+    dropped(edges)
+    return rooted(marked, fps, roots)
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, fingerprint hex, component_id) for every row.
 
@@ -271,32 +299,30 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null only where all its ids are.  Ties: the smallest id wins.  An empty table gives no rows; other
     columns are not read.
     """
-    batches(docs.sparkSession)
-    marked = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "id long, fp long"), "fingerprints")
-    batches(docs.sparkSession, 10_000)
-    fps = written(marked.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
-    roots = components(fingerprint_edges(fps, block), "a", "b")
-    of = fps.join(roots, fps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = of.join(least, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _components(docs, id_col, text_col, block).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low.id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """``docs`` with one row of each component: a row of its smallest id.
+    """``docs`` with one row of each component, as ``one_of_each`` says."""
+    return one_of_each(docs, _components(docs, id_col, text_col, block), id_col, text_col)
 
-    Rows with a null id stay.  Of rows that share an id one stays.
-    """
-    return one_of_each(docs, simhash_components(docs, id_col, text_col, block), id_col)
 
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of ``found`` (id, t, low): one of its smallest id.
 
-def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each component of ``found`` (id, component_id), as ``deduplicate`` says."""
-    found = written(found.select(F.col(id_col).alias("_id"), "component_id"), "components")
+    Of rows that share this id the one whose text has the smallest hash stays, and one only of rows with
+    the same id and text; rows that share an id but are of different components are judged apart.  Rows
+    with a null id stay.  ``docs`` may have any columns.
+    """
+    key, text = fresh("_key", docs), fresh("_text_key", docs)
+    found = written(found.where(F.col("id").isNotNull()).select(F.col("id").alias(key), F.col("t").alias(text), "low"), "components")
+    first = (F.col(key) == F.col("low.id")) & (F.col(text) == F.col("low.t"))
     # what goes is small beside what stays: its written size decides whether texts are shuffled at all
-    gone = written(found.where(F.col("_id") != F.col("component_id")).select("_id").distinct(), "copies")
-    again = written(found.where(F.col("_id") == F.col("component_id")).groupBy("_id").count().where("count > 1").select("_id"), "repeated-ids")
-    is_id = F.col(id_col) == F.col("_id")
-    stay = docs.join(gone, is_id, "left_anti")
-    once = stay.join(again, is_id, "left_semi").dropDuplicates([id_col])
-    return stay.join(again, is_id, "left_anti").unionByName(once)
+    gone = written(found.where(~first).select(key, text).distinct(), "copies")
+    again = written(found.where(first).groupBy(key, text).count().where("count > 1").select(key, text), "repeated-rows")
+    is_row = (docs[f"`{id_col}`"] == F.col(key)) & (row_hash(f"`{text_col}`") == F.col(text))
+    stay = docs.join(gone, is_row, "left_anti")
+    if again.isEmpty():
+        return stay
+    once = stay.join(again, is_row, "left_semi").dropDuplicates([id_col, text_col])
+    return stay.join(again, is_row, "left_anti").unionByName(once)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import batches, written
+from inkstone.llm.common import sliced, written
 
 END_ID = 2
 PRECISION = 18
@@ -303,7 +303,7 @@ def _write(words: Words, end_id: int):
         end = struct.pack("<H", end_id)
         docs: list[tuple[int | None, bytes]] = []
         size = 0
-        for b in it:
+        for b in sliced(it):
             for i, d in zip(b.column(0).to_pylist(), words.encode(b.column(1).to_pylist()), strict=True):
                 docs.append((i, d + end))
                 size += len(docs[-1][1]) // 2
@@ -330,7 +330,6 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = ["id", F.length("text"), F.xxhash64("text"), "row"]
     dealt = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("row")
-    batches(spark)
     return written(dealt.mapInArrow(_write(words, end_id), _PART_SCHEMA), "tokens")
 
 
