@@ -9,9 +9,11 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that a Python worker handles at once; Spark bounds a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch).
+#: Rows that a Python worker handles at once; Spark also bounds a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch).
 BATCH_ROWS = 1000
 
+_ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; an own one only where that is unset and all run on one machine."""
@@ -25,6 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Python workers get BATCH_ROWS rows at once, unless the session says otherwise.
+
+    By default Spark holds 64 MB of rows outside the heap for each task that feeds a worker.  The number
+    is the same for all operators, and one that the user has set stays.
+    """
+    if spark.conf.get(_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of so many rows, so that what is made of them needs little memory."""
     for b in batches:
@@ -43,6 +55,7 @@ def fresh(name: str, *frames: DataFrame) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives the loss of any executor."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import fresh, sliced, written
+from inkstone.llm.common import fresh, sliced, small_batches, written
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -198,6 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Repeated rows give repeated pairs; repeated item ids are items of their own.  Empty tables give no
     rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, item long, n_shared long, n_item long"
     found, block = own.where("false").selectExpr("id", "id as item", "id as n_shared", "id as n_item"), []

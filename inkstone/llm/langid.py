@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import dropped, written
+from inkstone.llm.common import dropped, small_batches, written
 
 NGRAM = 4
 #: About so many labelled documents of each language are learned from, chosen by a hash of their id.
@@ -95,14 +95,15 @@ class Filters:
         """grams: n-grams; masks: for each, the words of the mask of the languages that contain it."""
         self.languages = languages
         words = max(1, -(-len(languages) // WORD))
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= min(len(languages), WORD))
         grams = np.zeros(0, np.uint64) if grams is None else grams
         bits = max(10, (len(grams) * SLOTS_A_GRAM - 1).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
-        self.slots = np.zeros((words, 1 << bits), np.uint64)
+        self.slots = np.zeros((words, 1 << bits), kind)
         for w in range(words if len(grams) else 0):
             for k in range(HASHES):
-                np.bitwise_or.at(self.slots[w], self._slot(grams, k), masks[w])
-        fill = np.array([((self.slots[k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)).mean() for k in range(len(languages))])
+                np.bitwise_or.at(self.slots[w], self._slot(grams, k), masks[w].astype(kind))
+        fill = np.array([((self.slots[k // WORD] & kind(1 << k % WORD)) != 0).mean() for k in range(len(languages))])
         self.false = fill**HASHES
 
     def _slot(self, g: np.ndarray, k: int) -> np.ndarray:
@@ -125,7 +126,7 @@ class Filters:
             total += np.bincount(of, minlength=len(texts))
             for w, m in enumerate(self.containing(g)):
                 for k in range(w * WORD, min(len(self.languages), (w + 1) * WORD)):
-                    by[:, k] += np.bincount(of[(m >> np.uint64(k % WORD)) & np.uint64(1) == 1], minlength=len(texts))
+                    by[:, k] += np.bincount(of[(m & m.dtype.type(1 << k % WORD)) != 0], minlength=len(texts))
         return total, by
 
     def corrected(self, total: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -199,6 +200,7 @@ def predict_languages(docs: DataFrame, filters: Filters, text_col: str = "text")
         lang, score = filters.predict([t or "" for t in texts])
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
+    small_batches(docs.sparkSession)
     return docs.drop("lang_pred", "score").withColumn("_lang", predicted(F.col(text_col))).select("*", "_lang.lang_pred", "_lang.score").drop("_lang")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import sliced
+from inkstone.llm.common import sliced, small_batches
 
 MARK = "▁"
 #: Chunks in each of the two generations that a worker remembers.
@@ -235,6 +235,7 @@ def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), lists, pa.array(same, pa.bool_())], [id_col, "n_tokens", "ids", "round_trip"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids array<int>, round_trip boolean")
 
@@ -247,6 +248,7 @@ def decode_ids(tokens: DataFrame, model_file: str, ids_col: str = "ids", out: st
     def text(ids: pd.Series) -> pd.Series:
         return pd.Series([pieces.decode([] if i is None else list(i)) for i in ids], dtype=object)
 
+    small_batches(tokens.sparkSession)
     return tokens.withColumn(out, text(F.col(ids_col)))
 
 
@@ -259,5 +261,6 @@ def piece_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
             rows = [pieces.digest(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], (pa.int64(), pa.string(), pa.string())[k]) for k in range(3))], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import sliced
+from inkstone.llm.common import sliced, small_batches
 
 #: About so many rows of each label are fitted to, chosen by a hash of the id, and so many characters of each.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 2500, 20_000
@@ -252,6 +252,7 @@ def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_
             score = field.scores(pc.fill_null(b.column(1), "").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, score double, predicted int")
 
@@ -265,6 +266,7 @@ def toxic_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
             ids = b.column(0).take(pa.array([x[0] for x in found], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.float64())], [id_col, "start", "end", "probability"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, start long, end long, probability double")
 
