@@ -467,6 +467,44 @@ def test_html(spark):
     assert extract_pages(d.limit(0)).count() == 0
 
 
+LONG = "A paragraph that is long enough to be the content of the page, and that goes on and on for a while."
+SOUP = f'<body><div>{"".join(f"<ul><li><a href=/{i}>Link {i}</a></ul>" for i in range(30))}</div><div><div><h1>Title</h1></div><div><p>{LONG}</p><p>Short.</p><ul>{"<li>item</li>" * 6}</ul><p>{LONG}</p><p>{LONG}</p><p>End.</p></div></div><div>(c) the site</div>'
+
+
+def test_html_regions():
+    from inkstone.llm.htmltext import main_text
+
+    text = f"{LONG} Short. {LONG}"
+    body = f"<p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+    assert main_text(SOUP) == f"Title {LONG} Short. item item item item item item {LONG} {LONG} End."
+    assert main_text(f"<article><header><h1>Title</h1></header>{body}<footer>by me</footer></article>") == f"Title {text}"
+    assert main_text(f"<nav><a>Home</a></nav><form action=x>{body}</form>") == text
+    assert main_text(f'<div class="page-header-wrap">{body}</div><div class=sidebar>x</div>') == text
+    assert main_text(f'<div class=post><h1 class="entry-header">Title</h1>{body}</div><div class=comments><p>{LONG}</p></div>') == f"Title {text}"
+    assert main_text(f"<article><p>Tiny.</p></article><footer>{LONG}</footer>") == "Tiny."
+    assert main_text("<div>" * 3000 + f"<p>{LONG}" + "</b></i></td>" * 3000) == LONG  # deep, never closed, stray ends
+    assert main_text(f"<table><tr><td>{'<a>menu</a><br>' * 9}</td><td>{body}</td></tr></table>") == text
+
+
+def test_html_lines_are_chosen_by_smoothed_ratios(monkeypatch):
+    import math
+
+    from inkstone.llm import htmltext as ht
+
+    page = ht.Page(SOUP)
+    ratio = [n / max(1, t) / (1 if page.worst[e] == ht.FOR else ht.AGAINST) for n, t, e in zip(page.length, page.tags, page.at, strict=True)]
+    smooth = []
+    for i in range(len(ratio)):
+        near = [(math.exp(-0.5 * (d / ht.SIGMA) ** 2), ratio[i + d]) for d in range(-ht.REACH, ht.REACH + 1) if 0 <= i + d < len(ratio)]
+        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    mean = sum(smooth) / len(smooth)
+    bound = ht.THRESHOLD * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+    assert ht.chosen_lines(page)[0].tolist() == [x >= bound for x in smooth]
+    want = ht.main_text(SOUP)
+    monkeypatch.setattr(ht, "smoothed", lambda r: np.ones(len(r)))
+    assert ht.main_text(SOUP) != want and "Link" in ht.main_text(SOUP)
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline(spark, tmp_path):
     import sentencepiece
