@@ -8,10 +8,13 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that a Python worker handles at once; Spark also bounds a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch).
 BATCH_ROWS = 1000
 
+#: Rows of a few numbers that are broadcast: 32 MB, and about 130 MB as a table in an executor's memory.
+BROADCAST_ROWS = 2_000_000
 _ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
@@ -61,6 +64,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table made by ``written``, to be broadcast if it has so few rows; else joins shuffle it as they see fit.
+
+    For decisions about documents, a few numbers each, that meet the documents' texts: a million of them is
+    less than what shuffling the texts of a thousand would be.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def dropped(df: DataFrame) -> None:
     """Remove the files of a table made by ``written`` that is not needed any more."""
     jvm = df.sparkSession._jvm

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import fresh, sliced, small_batches, written
+from inkstone.llm.common import broadcast_if_small, fresh, sliced, small_batches, written
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -215,7 +215,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``docs`` without the documents that hold a benchmark item; rows with a null id stay."""
     leak = fresh("_leak", docs)
     bad = written(contaminated(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias(leak)).distinct(), "leaks")
-    return docs.join(bad, F.col(id_col) == F.col(leak), "left_anti")
+    return docs.join(broadcast_if_small(bad), F.col(id_col) == F.col(leak), "left_anti")
 
 
 def contaminated_sql(docs: str, benchmark: str, containment: float = CONTAINMENT, width: int = SHINGLE) -> str:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import dropped, fresh, sliced, written
+from inkstone.llm.common import broadcast_if_small, dropped, fresh, sliced, written
 from inkstone.llm.components import components
 
 SHINGLE = 4
@@ -317,9 +317,9 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
     key, text = fresh("_key", docs), fresh("_text_key", docs)
     found = written(found.where(F.col("id").isNotNull()).select(F.col("id").alias(key), F.col("t").alias(text), "low"), "components")
     first = (F.col(key) == F.col("low.id")) & (F.col(text) == F.col("low.t"))
-    # what goes is small beside what stays: its written size decides whether texts are shuffled at all
-    gone = written(found.where(~first).select(key, text).distinct(), "copies")
-    again = written(found.where(first).groupBy(key, text).count().where("count > 1").select(key, text), "repeated-rows")
+    # what goes is small beside what stays: the number of its rows decides whether texts are shuffled at all
+    gone = broadcast_if_small(written(found.where(~first).select(key, text).distinct(), "copies"))
+    again = broadcast_if_small(written(found.where(first).groupBy(key, text).count().where("count > 1").select(key, text), "repeated-rows"))
     is_row = (docs[f"`{id_col}`"] == F.col(key)) & (row_hash(f"`{text_col}`") == F.col(text))
     stay = docs.join(gone, is_row, "left_anti")
     if again.isEmpty():
