@@ -110,19 +110,87 @@ def test_toxicity(spark):
     assert tx.toxicity(d, y.limit(0)).where("score > 0.01").count() == 0 and tx.toxicity(d.limit(0), y).count() == 0
 
 
-def test_marginals_are_sums_over_paths():
+def slow_sums(e, moves):
+    """Marginals, expected transitions and P(all clean) of one document, over all paths."""
     from itertools import product
 
-    from inkstone.llm.toxicity import Field
-
-    f = Field()
-    f.moves = np.array([[0.3, -0.5], [0.1, 0.9]])
-    e = np.array([[0.5, -1.0, 2.0, 0.3]])
-    weight = {p: np.exp(sum(e[0, k] * p[k] for k in range(4)) + sum(f.moves[p[k], p[k + 1]] for k in range(3))) for p in product((0, 1), repeat=4)}
+    n = len(e)
+    weight = {p: np.exp(sum(e[k] * p[k] for k in range(n)) + sum(moves[p[k], p[k + 1]] for k in range(n - 1))) for p in product((0, 1), repeat=n)}
     total = sum(weight.values())
-    p, pairs = f.marginals(e, np.ones((1, 4), bool), pairs=True)
-    assert np.allclose(p[0], [sum(w for q, w in weight.items() if q[k]) / total for k in range(4)])
-    assert np.allclose(pairs, [[sum(w * sum(q[k] == a and q[k + 1] == b for k in range(3)) for q, w in weight.items()) / total for b in (0, 1)] for a in (0, 1)])
+    pairs = [[sum(w * sum(q[k] == a and q[k + 1] == b for k in range(n - 1)) for q, w in weight.items()) / total for b in (0, 1)] for a in (0, 1)]
+    return [sum(w for q, w in weight.items() if q[k]) / total for k in range(n)], pairs, weight[(0,) * n] / total
+
+
+def test_sums_over_paths_do_not_depend_on_chains():
+    from inkstone.llm.toxicity import Chains
+
+    rng = np.random.default_rng(3)
+    moves, n = rng.normal(size=(2, 2)), np.array([4, 0, 9, 1, 11])
+    e = rng.normal(size=int(n.sum()))
+    ends = np.cumsum(n)
+    want = [slow_sums(e[b - k : b], moves) for b, k in zip(ends, n, strict=True)]
+    for length in (1, 2, 3, 4, 128):
+        c = Chains(n, length)
+        p, pairs, clean = c.sums(c.spread(e), moves)
+        assert np.allclose(c.marginals(c.spread(e), moves), np.concatenate([w[0] for w in want]))
+        assert np.allclose(p[c.row, c.col], np.concatenate([w[0] for w in want]))
+        for d, w in enumerate(want):
+            assert np.allclose(pairs[:, :, c.document == d].sum(axis=2), w[1]) and np.isclose(np.exp(clean[d]), w[2])
+
+
+def test_document_scores_are_brute_force_marginals(monkeypatch):
+    from inkstone.llm import toxicity as tx
+
+    f = tx.Field()
+    f.bias, f.moves, f.document = -2.0, np.array([[0.5, -0.4], [-0.3, 0.8]]), np.array([-1.0, 0.7, 1.5, -0.6])
+    f.weights = {"=vile": 3.0, "^rot": 2.0, "&you sick": 2.5}
+    f.ready()
+    texts = ["so vile! a rotten day", "you sick man", "feel sick", "", " \t", "vile", "a b c d e f g h i j"]
+    e = [[-2, 1, -2, 0, -2], [-2, 0.5, -2], [-2, -2], [], [], [1], [-2] * 10]
+    want = []
+    for x in e:
+        p = slow_sums(x, f.moves)[0] if x else []
+        want.append(1 / (1 + np.exp(-(f.document @ [1, np.log1p(sum(p)), max(p, default=0), np.log1p(len(x)) / 10]))))
+    assert np.allclose(f.scores(texts), want)
+    for chain, block in ((3, 4_000_000), (128, 5)):
+        monkeypatch.setattr(tx, "CHAIN", chain)
+        monkeypatch.setattr(tx, "BLOCK", block)
+        assert np.allclose(f.scores(texts), want)
+    assert f.logistic(np.array([[0, 0, -1 / 0.6]]))[0] == 0.5  # counts as toxic
+
+
+def test_context_decides(spark):
+    """The same word is toxic behind another one only, which no list of words can tell."""
+    from inkstone.llm import toxicity as tx
+
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(400):
+        w = rng.choice(words, 40).tolist()
+        w[3:5], w[20:22] = (["you", "sick"], ["feel", "tired"]) if i % 3 == 0 else (["feel", "sick"], ["you", "tired"])
+        rows.append((i, " ".join(w), "en", "s"))
+        labels.append((i, int(i % 3 == 0)))
+    rows.append((5000, "word " * 2000 + "you sick", "en", "s"))  # a late span counts
+    d = docs(spark, rows)
+    field = tx.learn(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    score = field.scores([t for _, t, *_ in rows])
+    assert np.mean([(x >= 0.5) == (i % 3 == 0) for i, x in enumerate(score[:400])]) > 0.98
+    assert any("sick" in rows[0][1][a:b] for a, b, _ in field.spans(rows[0][1])) and not field.spans(rows[1][1])
+    assert field.spans(rows[-1][1])
+
+
+def test_labels_of_held_out_rows_are_not_read(spark):
+    from inkstone.llm import toxicity as tx
+
+    rows = [(i, f"word{i % 7} other {'vile' if i % 2 else 'fine'} end", "en", "s") for i in range(200)]
+    out = {i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0}
+    d = docs(spark, rows + rows[:3])  # repeated rows
+    got = []
+    for flip in (0, 1):
+        y = [(i, (i % 2) ^ (flip if i in out else 0)) for i in range(200)] + [(1, 0), (None, 1), (2, None)]
+        got.append(sorted((r.doc_id, r.score) for r in tx.toxicity(d, spark.createDataFrame(y, "doc_id long, toxic int")).collect()))
+    assert got[0] == got[1] and len(got[0]) == 203
 
 
 # ---------------------------------------------------------------- op4
