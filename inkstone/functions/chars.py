@@ -5,6 +5,8 @@ Lengths: Spark counts code points; limits that count UTF-16 units use ``utf16_le
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ def any_of(chars: str) -> str:
     return "[" + "".join("\\" + c if c in r"\]^-[" else c for c in chars) + "]"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used; also inside other lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def utf16_length(s: Column) -> Column:
     return F.length(s) + F.regexp_count(s, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkstone.functions.chars import W
+from inkstone.functions.chars import W, bound
 
 
 def normalize_newlines(t: Column) -> Column:
@@ -112,7 +112,7 @@ def middle_ellipsis(s: Column, most: int = 50, head: int | None = None, tail: in
 
 def collapse_token(token: Column) -> Column:
     """A token of three or more copies of a unit of 4 to 10 characters becomes the unit."""
-    return F.when(F.length(token).between(4, 100), F.regexp_replace(token, r"^(.{4,10}?)\1{2,}\z", "$1")).otherwise(token)
+    return F.when(F.length(token).between(12, 100), F.regexp_replace(token, r"^(.{4,10}?)\1{2,}\z", "$1")).otherwise(token)
 
 
 def collapse_phrases(line: Column) -> Column:
@@ -123,8 +123,12 @@ def collapse_phrases(line: Column) -> Column:
 def collapse_line(line: Column) -> Column:
     """Runs of spaces and tabs become one space, then phrases and tokens collapse; a line without tokens stays."""
     tokens = F.filter(F.split(line, "[ \t]+"), lambda t: t != "")
-    joined = collapse_phrases(F.array_join(tokens, " "))
-    return F.when(F.size(tokens) == 0, line).otherwise(F.array_join(F.transform(F.split(joined, " "), collapse_token), " "))
+
+    def collapsed(tokens: Column) -> Column:
+        once = F.when(F.size(tokens) < 3, F.array_join(tokens, " ")).otherwise(collapse_phrases(F.array_join(tokens, " ")))
+        return F.when(F.size(tokens) == 0, line).otherwise(F.array_join(F.transform(F.split(once, " "), collapse_token), " "))
+
+    return bound(tokens, collapsed)
 
 
 def progress_bar(percent: Column, width: int = 10) -> Column:

@@ -47,11 +47,8 @@ def page_texts(kept: DataFrame) -> DataFrame:
 
 def documents_of_pages(pages: DataFrame, header: bool = True) -> DataFrame:
     """(doc_id, page_count, text): pages in order, each behind its marker if asked for; a blank page is an empty line."""
-    trimmed = F.regexp_replace("text", f"^[{W}]+|[{W}]+$", "")
-    total = pages.groupBy("doc_id").agg(F.max("page_no").alias("page_count"))
-    marked = pages.join(total, "doc_id").withColumn("body", F.concat(trimmed, F.lit("\n")))
-    if header:
-        marker = F.format_string("=== [Page %d/%d] ===\n", F.col("page_no"), F.col("page_count"))
-        marked = marked.withColumn("body", F.concat(marker, F.col("body")))
-    ordered = F.array_sort(F.collect_list(F.struct("page_no", "body")))
-    return marked.groupBy("doc_id", "page_count").agg(F.array_join(F.transform(ordered, lambda x: x["body"]), "").alias("text"))
+    trimmed = F.concat(F.regexp_replace("text", f"^[{W}]+|[{W}]+$", ""), F.lit("\n"))
+    own = pages.select("doc_id", F.struct("page_no", trimmed.alias("body")).alias("page")).groupBy("doc_id")
+    own = own.agg(F.max("page.page_no").alias("page_count"), F.array_sort(F.collect_list("page")).alias("pages"))
+    marker = lambda x: F.concat(F.format_string("=== [Page %d/%d] ===\n", x["page_no"], F.col("page_count")), x["body"]) if header else x["body"]
+    return own.select("doc_id", "page_count", F.array_join(F.transform("pages", marker), "").alias("text"))

@@ -24,6 +24,7 @@ from inkstone.functions.chars import (
     STRONG_END,
     W,
     any_of,
+    bound,
     first_char,
     last_char,
     strip,
@@ -75,20 +76,24 @@ def mostly_cjk(s: Column) -> Column:
     """Some Han, no fewer than ASCII letters, and no prefix with over four letters more than Han."""
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, f"[^{CJK}{LETTER}]", ""), f"[{CJK}]", "0"), f"[{LETTER}]", "1")
     start = F.struct(F.lit(0).alias("lead"), F.lit(0).alias("most"))
-    step = lambda a, c: F.struct(
-        (a["lead"] + F.when(c == "1", 1).otherwise(-1)).alias("lead"), F.greatest(a["most"], a["lead"] + F.when(c == "1", 1).otherwise(-1)).alias("most")
-    )
-    most = F.aggregate(F.split(kinds, ""), start, step, lambda a: a["most"])
-    cjk, letters = F.regexp_count(s, F.lit(f"[{CJK}]")), F.regexp_count(s, F.lit(f"[{LETTER}]"))
-    # the fold is needed only where the totals leave room for an early failure
-    return (cjk > 0) & (cjk >= letters) & F.when(letters <= 4, True).otherwise(most <= 4)
+
+    def step(a: Column, c: Column) -> Column:
+        lead = a["lead"] + F.when(c == "1", 1).otherwise(-1)
+        return F.struct(lead.alias("lead"), F.greatest(a["most"], lead).alias("most"))
+
+    def holds(kinds: Column) -> Column:
+        cjk, letters = F.length(F.translate(kinds, "1", "")), F.length(F.translate(kinds, "0", ""))
+        most = F.aggregate(F.split(kinds, ""), start, step, lambda a: a["most"])
+        # the fold is needed only where the totals leave room for an early failure
+        return (cjk > 0) & (cjk >= letters) & F.when(letters <= 4, True).otherwise(most <= 4)
+
+    return bound(kinds, holds)
 
 
 def latin_leading(t: Column, limit: int = 200) -> Column:
     """The first 200 visible characters are Latin text: no Han, 40 at least, nine tenths Latin."""
-    head = F.left(F.regexp_replace(t, f"[{W}]", ""), F.lit(limit))
-    seen = F.length(head)
-    return ~contains_cjk(head) & (seen >= 40) & (F.regexp_count(head, F.lit(f"[{LATINISH}]")) * 10 >= seen * 9)
+    head = F.regexp_replace(F.regexp_extract(t, f"^(?:[{W}]*[^{W}]){{0,{limit}}}", 0), f"[{W}]", "")
+    return bound(head, lambda h: ~contains_cjk(h) & (F.length(h) >= 40) & (F.regexp_count(h, F.lit(f"[{LATINISH}]")) * 10 >= F.length(h) * 9))
 
 
 def begins_dialog(s: Column) -> Column:
@@ -148,24 +153,24 @@ def custom_title(s: Column, heading: ShortHeading) -> Column:
 def metadata(line: Column) -> Column:
     """``key separator value`` of 30 UTF-16 units at most, with a known key and a value that opens no dialog."""
     rx = f"^[{W}]*([^{SEPARATOR}]+)[{SEPARATOR}][{W}]*([^{W}])"
-    key = strip(F.regexp_extract(line, rx, 1))
+    raw = F.regexp_extract(line, rx, 1)
     value = F.regexp_extract(line, rx, 2)
-    raw = F.length(F.regexp_extract(line, rx, 1))
-    return (utf16_length(line) <= 30) & raw.between(1, MAX_KEY) & key.isin(METADATA_KEYS) & (value != "") & ~value.isin(*DIALOG_OPEN)
+    return (utf16_length(line) <= 30) & line.rlike(rx) & F.length(raw).between(1, MAX_KEY) & strip(raw).isin(METADATA_KEYS) & ~value.isin(*DIALOG_OPEN)
 
 
-def _balance(s: Column, up: str, down: str) -> Column:
-    """(depth at the end, least depth) over openers and closers."""
-    marks = F.split(F.regexp_replace(s, f"[^{any_of(up)[1:-1]}{any_of(down)[1:-1]}]", ""), "")
-    step = lambda a, c: F.struct(
-        (a["d"] + F.when(c == "", 0).when(c.isin(*up), 1).otherwise(-1)).alias("d"), F.least(a["low"], a["d"] + F.when(c == "", 0).when(c.isin(*up), 1).otherwise(-1)).alias("low")
-    )
-    return F.aggregate(marks, F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), step)
+def _unbalanced(marks: Column, up: Column) -> Column:
+    """Whether openers and closers, an array of both, leave some open or close one too early; ``up`` tells an opener."""
+    start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("low"))
+
+    def step(a: Column, c: Column) -> Column:
+        d = a["d"] + F.when(up(c), 1).otherwise(-1)
+        return F.struct(d.alias("d"), F.least(a["low"], d).alias("low"))
+
+    return F.aggregate(marks, start, step, lambda a: (a["d"] != 0) | (a["low"] < 0))
 
 
 def bracket_balanced(s: Column, opener: str) -> Column:
-    x = _balance(s, opener, PAIRS[opener])
-    return (x["d"] == 0) & (x["low"] >= 0)
+    return ~_unbalanced(F.filter(F.split(s, ""), lambda c: c.isin(opener, PAIRS[opener])), lambda c: c == opener)
 
 
 #: Quotes that are counted together: each opener with its closers.
@@ -175,21 +180,28 @@ QUOTE_COUNTERS = [("“", "”〞〟"), ("‘", "’"), ("「", "」"), ("『",
 def unclosed_quote(s: Column) -> Column:
     """Some quote is left open, or closed before it is opened; the six kinds count apart."""
     any_mark = "".join(a + b for a, b in QUOTE_COUNTERS)
-    out = F.lit(False)
-    for up, down in QUOTE_COUNTERS:
-        x = _balance(s, up, down)
-        out = out | (x["d"] != 0) | (x["low"] < 0)
-    return s.rlike(f"[{any_mark}]") & out
+
+    def of_kind(marks: Column, up: str, down: str) -> Column:
+        own = F.filter(F.split(marks, ""), lambda c: c.isin(up, *down))
+        return marks.rlike(f"[{up}{down}]") & _unbalanced(own, lambda c: c == up)
+
+    def wrong(marks: Column) -> Column:
+        out = F.lit(False)
+        for up, down in QUOTE_COUNTERS:
+            out = out | of_kind(marks, up, down)
+        return out
+
+    return s.rlike(f"[{any_mark}]") & bound(F.regexp_replace(s, f"[^{any_mark}]", ""), wrong)
 
 
 def unclosed_bracket(s: Column) -> Column:
     """Brackets do not nest properly: a stack is folded over them; a stray or wrong closer spoils it."""
-    marks = F.split(F.regexp_replace(s, f"[^{any_of(''.join(a + b for a, b in PAIRS.items()))[1:-1]}]", ""), "")
+    brackets = any_of("".join(a + b for a, b in PAIRS.items()))[1:-1]
     closer = F.create_map(*(F.lit(x) for p in PAIRS.items() for x in p))
     step = lambda a, c: (
-        F.when(a == "!", a).when(c == "", a).when(c.isin(*PAIRS), F.concat(F.element_at(closer, c), a)).when(F.left(a, F.lit(1)) == c, F.substr(a, F.lit(2))).otherwise("!")
+        F.when((a == "!") | (c == ""), a).when(c.isin(*PAIRS), F.concat(F.element_at(closer, c), a)).when(F.left(a, F.lit(1)) == c, F.substr(a, F.lit(2))).otherwise("!")
     )
-    return F.aggregate(marks, F.lit(""), step) != ""
+    return bound(s, lambda t: t.rlike(f"[{brackets}]") & (F.aggregate(F.split(F.regexp_replace(t, f"[^{brackets}]", ""), ""), F.lit(""), step) != ""))
 
 
 def list_unclosed_bracket(s: Column) -> Column:
@@ -199,13 +211,16 @@ def list_unclosed_bracket(s: Column) -> Column:
 
 def bracket_boundary(s: Column) -> Column:
     """One matching pair of brackets round text that is mostly Han, balanced for its kind."""
-    t = strip(s)
-    inner = strip(F.regexp_replace(t, r"(?s)^.(.*).\z", "$1"))
-    first, last = F.left(t, F.lit(1)), F.right(t, F.lit(1))
-    ok = F.lit(False)
-    for a, b in PAIRS.items():
-        ok = ok | ((first == a) & (last == b) & bracket_balanced(t, a))
-    return (F.length(t) >= 2) & (inner != "") & ok & mostly_cjk(inner)
+    pairs = F.create_map(*(F.lit(x) for p in PAIRS.items() for x in p))
+
+    def holds(t: Column) -> Column:
+        first, last = F.left(t, F.lit(1)), F.right(t, F.lit(1))
+        paired = F.coalesce(F.try_element_at(pairs, first) == last, F.lit(False))
+        marks = F.filter(F.split(t, ""), lambda c: (c == first) | (c == last))
+        inside = strip(F.regexp_replace(t, r"(?s)^.(.*).\z", "$1"))
+        return (F.length(t) >= 2) & paired & ~_unbalanced(marks, lambda c: c == first) & bound(inside, lambda x: (x != "") & mostly_cjk(x))
+
+    return bound(strip(s), holds)
 
 
 def wrapped(s: Column) -> Column:
@@ -216,58 +231,65 @@ def wrapped(s: Column) -> Column:
 
 def suspicious_quotes(line: Column) -> Column:
     """Both ends are quotation marks that make no pair: reversed, or of different kinds."""
-    t = strip(line)
-    first, last = F.left(t, F.lit(1)), F.right(t, F.lit(1))
-    reverse = first.isin(*QUOTE_CLOSE) & last.isin(*QUOTE_OPEN)
-    pair = F.translate(first, QUOTE_OPEN, QUOTE_CLOSE)
-    return (F.length(t) >= 2) & (reverse | (first.isin(*QUOTE_OPEN) & last.isin(*QUOTE_CLOSE) & (pair != last)))
+
+    def holds(t: Column) -> Column:
+        first, last = F.left(t, F.lit(1)), F.right(t, F.lit(1))
+        reverse = first.isin(*QUOTE_CLOSE) & last.isin(*QUOTE_OPEN)
+        pair = F.translate(first, QUOTE_OPEN, QUOTE_CLOSE)
+        return (F.length(t) >= 2) & (reverse | (first.isin(*QUOTE_OPEN) & last.isin(*QUOTE_CLOSE) & (pair != last)))
+
+    return bound(strip(line), holds)
 
 
 def sentence_boundary(s: Column, level: int = 2) -> Column:
     """The ladder of sentence ends; level 3 is the strictest and alone takes an ASCII stop after Han."""
-    last = last_char(s)
-    before = F.regexp_extract(s, rf"([^{W}])[{W}]*[^{W}][{W}]*\z", 1)
-    mostly = mostly_cjk(s)
     closers = any_of("".join(PAIRS.values()) + QUOTE_CLOSE + "﹂﹄")[1:-1]
-    ocr_end = s.rlike(rf"[{CJK}][.:][{W}]*\z") & mostly
-    ocr_closed = s.rlike(rf"[{CJK}][{W}]*\.[{W}]*[{closers}][{W}{closers}]*\z") & mostly
-    closing = last.isin(*(QUOTE_CLOSE + "﹂﹄"), "）", ")") & (before != "")
-    case = F.when(last == "", False).when(last.isin(*STRONG_END), True)
-    if level >= 3:
-        case = case.when(last.isin(".", ":") & ocr_end, True)
-    case = case.when(closing & before.isin(*STRONG_END), True).when(closing & (before == ".") & ocr_closed, True)
-    if level >= 3:
-        return case.otherwise(False)
-    case = case.when((last == "：") & mostly, True).when(s.rlike(rf"(?:…|\.\.\.)[{W}]*\z") & mostly, True)
-    return case.otherwise(False) if level >= 2 else case.otherwise(last.isin("；", "：", ";", ":"))
+    ocr_end = s.rlike(rf"[{CJK}][.:][{W}]*\z") & mostly_cjk(s)
+    ocr_closed = s.rlike(rf"[{CJK}][{W}]*\.[{W}]*[{closers}][{W}{closers}]*\z") & mostly_cjk(s)
+
+    def ladder(last: Column, before: Column) -> Column:
+        closing = last.isin(*(QUOTE_CLOSE + "﹂﹄"), "）", ")") & (before != "")
+        case = F.when(last == "", False).when(last.isin(*STRONG_END), True)
+        if level >= 3:
+            case = case.when(last.isin(".", ":") & ocr_end, True)
+        case = case.when(closing & before.isin(*STRONG_END), True).when(closing & (before == ".") & ocr_closed, True)
+        if level >= 3:
+            return case.otherwise(False)
+        case = case.when((last == "：") & mostly_cjk(s), True).when(s.rlike(rf"(?:…|\.\.\.)[{W}]*\z") & mostly_cjk(s), True)
+        return case.otherwise(False) if level >= 2 else case.otherwise(last.isin("；", "：", ";", ":"))
+
+    before = F.regexp_extract(s, rf"([^{W}])[{W}]*[^{W}][{W}]*\z", 1)
+    return bound(F.struct(last_char(s).alias("last"), before.alias("before")), lambda x: ladder(x["last"], x["before"]))
 
 
 def short_heading(line: Column, heading: ShortHeading | None = None) -> Column:
     """The ladder of short headings."""
     h = heading or ShortHeading()
-    s = strip(line)
-    last = last_char(s)
-    n = utf16_length(s)
     base = min(30, max(3, h.max_len))
     wide = min(30, max(10, 2 * base))
-    longer = F.lit(False)
-    kinds = F.lit(False)
-    if h.all_ascii:
-        longer, kinds = longer | all_ascii(s), kinds | all_ascii(s)
-    if h.mixed:
-        longer, kinds = longer | mixed_cjk_ascii(s), kinds | mixed_cjk_ascii(s)
-    if h.all_cjk:
-        kinds = kinds | all_cjk(s)
-    if h.all_ascii_digits:
-        kinds = kinds | all_ascii_digits(s)
-    return (
-        F.when((s == "") | page_marker(s), False)
-        .when(unclosed_bracket(s) | unclosed_quote(s), False)
-        .when(last.isin(*COLON) & (n <= h.max_len) & s.rlike(rf"^[{CJK}]+[{COLON}]\z"), True)
-        .when(last.isin("）", ")") & ~has_comma(s), True)
-        .when(wrapped(s) & mostly_cjk(s), True)
-        .when(last.isin(*CLAUSE_END) | has_comma(s), False)
-        .when(n > F.when(longer, wide).otherwise(base), False)
-        .when(has_strong_end(s), False)
-        .otherwise(kinds)
-    )
+
+    def ladder(s: Column, last: Column, n: Column) -> Column:
+        longer = F.lit(False)
+        kinds = F.lit(False)
+        if h.all_ascii:
+            longer, kinds = longer | all_ascii(s), kinds | all_ascii(s)
+        if h.mixed:
+            longer, kinds = longer | mixed_cjk_ascii(s), kinds | mixed_cjk_ascii(s)
+        if h.all_cjk:
+            kinds = kinds | all_cjk(s)
+        if h.all_ascii_digits:
+            kinds = kinds | all_ascii_digits(s)
+        return (
+            F.when((s == "") | page_marker(s), False)
+            .when(unclosed_bracket(s) | unclosed_quote(s), False)
+            .when(last.isin(*COLON) & (n <= h.max_len) & s.rlike(rf"^[{CJK}]+[{COLON}]\z"), True)
+            .when(last.isin("）", ")") & ~has_comma(s), True)
+            .when(wrapped(s) & mostly_cjk(s), True)
+            .when(last.isin(*CLAUSE_END) | has_comma(s), False)
+            .when(n > F.when(longer, wide).otherwise(base), False)
+            .when(has_strong_end(s), False)
+            .otherwise(kinds)
+        )
+
+    parts = lambda s: F.struct(s.alias("s"), last_char(s).alias("last"), utf16_length(s).alias("n"))
+    return bound(bound(strip(line), parts), lambda x: ladder(x["s"], x["last"], x["n"]))

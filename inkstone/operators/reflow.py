@@ -1,17 +1,20 @@
 """Paragraph reflow: broken lines of Chinese text are put together into paragraphs.
 
-All facts about a line are columns: a document stays one row, its lines are an array of structs, and
-nothing is shuffled.  Only the walk over the lines, which carries a buffer, is Python, on Arrow batches.
+All facts about a line are columns, each computed once: a document stays one row, its lines are an array
+of structs, and nothing is shuffled.  Only the walk over the lines, which carries a buffer, is Python, on
+Arrow batches; what it asks about the buffer is kept as the buffer grows, so that it is linear in the text.
 Latin texts leave by a branch of their own and never reach it.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from inkstone.functions import chars as c
 from inkstone.functions import text as t
@@ -20,85 +23,52 @@ from inkstone.options import PdfOptions, boundary_level
 
 _SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _HAN = re.compile("[㐀-䶿一-鿿豈-﫿]")
-_LETTER = re.compile("[A-Za-z]")
+_HAN_OR_LETTER = re.compile("[㐀-䶿一-鿿豈-﫿A-Za-z]")
 _MARK = {x: k for k, pair in enumerate(p.QUOTE_COUNTERS) for x in "".join(pair)}
-_CLOSERS = "".join(c.PAIRS.values())
+_BRACKET = re.compile(c.any_of(c.BRACKETS))
+_QUOTE = re.compile("[" + "".join(a + b for a, b in p.QUOTE_COUNTERS).translate({ord(x): None for x in "〞〟"}) + "]")  # 〞 and 〟 close nothing here
+#: Characters at either end of a buffer that are looked at without joining its lines.
+_HEAD = 256
 
 
 def line_facts(raw: Column, options: PdfOptions) -> Column:
     """STRUCT of what the walk asks of a line."""
-    stripped = t.strip_half_width_indent(t.right_trim(raw))
-    is_divider = p.divider(t.probe(stripped))
-    text = F.when(is_divider, stripped).otherwise(t.collapse_line(stripped))
-    probe = t.probe(text)
-    is_list = p.begins_list(text)
-    kind = (
-        F.when(is_divider, "divider")
-        .when(text == "", "empty")
-        .when(p.page_marker(text), "marker")
-        .when(p.custom_title(probe, options.short_heading), "custom title")
-        .when(p.title(probe), "title")
-        .when(p.metadata(probe), "metadata")
-        .when(p.short_heading(probe, options.short_heading), "heading")
-        .otherwise("text")
-    )
-    standalone = p.ends_strong(text) | p.ends_colon(text) | p.ends_ellipsis(text)
-    return F.struct(
-        text.alias("text"),
-        kind.alias("kind"),
-        (p.all_cjk(text, white_space=True) | p.ends_colon(text) | c.last_char(text).isin("）", ")")).alias("continues"),
-        p.begins_dialog(text).alias("dialog"),
-        is_list.alias("list"),
-        p.ends_dialog(text).alias("closer"),
-        F.when(is_list, p.list_unclosed_bracket(text)).otherwise(p.unclosed_bracket(text)).alias("bracket"),
-        p.unclosed_quote(text).alias("quote"),
-        standalone.alias("alone"),
-        p.indented(raw).alias("indent"),
-    )
 
-
-# ---------------------------------------------------------------- the walk's questions about its buffer
-def _nests(s: str) -> bool:
-    stack = []
-    for x in s:
-        if x in c.PAIRS:
-            stack.append(c.PAIRS[x])
-        elif x in _CLOSERS and (not stack or stack.pop() != x):
-            return False
-    return not stack
-
-
-def _mostly_han(s: str) -> bool:
-    han = letters = 0
-    for x in s:
-        if _HAN.match(x):
-            han += 1
-        elif _LETTER.match(x):
-            letters += 1
-            if letters > han + 4:
-                return False
-    return 0 < han >= letters
-
-
-def _sentence_ends(s: str, level: int) -> bool:
-    s = s.rstrip(_SPACE)
-    last, head = s[-1:], s[:-1].rstrip(_SPACE)
-    if not last:
-        return False
-    if last in c.STRONG_END or level >= 3 and last in ".:" and _HAN.match(s[-2:-1]) and _mostly_han(s):
-        return True
-    if last in c.DIALOG_CLOSE + "）)" and head:
-        if head[-1] in c.STRONG_END:
-            return True
-        if head[-1] == "." and _HAN.match(head[:-1].rstrip(_SPACE)[-1:]) and _mostly_han(s):
-            return True
-    if level >= 3:
-        return False
-    if (last == "：" or s.endswith(("…", "..."))) and _mostly_han(s):
-        return True
-    return level < 2 and last in "；：;:"
+    def facts(text: Column, is_divider: Column, probe: Column, is_list: Column) -> Column:
+        kind = (
+            F.when(is_divider, "divider")
+            .when(text == "", "empty")
+            .when(p.page_marker(text), "marker")
+            .when(p.custom_title(probe, options.short_heading), "custom title")
+            .when(p.title(probe), "title")
+            .when(p.metadata(probe), "metadata")
+            .when(p.short_heading(probe, options.short_heading), "heading")
+            .otherwise("text")
+        )
+        standalone = p.ends_strong(text) | p.ends_colon(text) | p.ends_ellipsis(text)
+        return F.struct(
+            text.alias("text"),
+            kind.alias("kind"),
+            (p.all_cjk(text, white_space=True) | p.ends_colon(text) | c.last_char(text).isin("）", ")")).alias("continues"),
+            p.begins_dialog(text).alias("dialog"),
+            is_list.alias("list"),
+            p.ends_dialog(text).alias("closer"),
+            F.when(is_list, p.list_unclosed_bracket(text)).otherwise(p.unclosed_bracket(text)).alias("bracket"),
+            p.unclosed_quote(text).alias("quote"),
+            standalone.alias("alone"),
+            p.indented(raw).alias("indent"),
+        )
+
+    def shown(stripped: Column) -> Column:
+        own = F.struct(stripped.alias("text"), p.divider(t.probe(stripped)).alias("divider"))
+        own = c.bound(own, lambda x: F.struct(F.when(x["divider"], x["text"]).otherwise(t.collapse_line(x["text"])).alias("text"), x["divider"].alias("divider")))
+        own = c.bound(own, lambda x: F.struct(x["text"].alias("text"), x["divider"].alias("divider"), t.probe(x["text"]).alias("probe"), p.begins_list(x["text"]).alias("list")))
+        return c.bound(own, lambda x: facts(x["text"], x["divider"], x["probe"], x["list"]))
+
+    return c.bound(t.strip_half_width_indent(t.right_trim(raw)), shown)
 
 
+# ---------------------------------------------------------------- the walk's questions about its buffer
 def _bracketed(s: str) -> bool:
     s = s.strip(_SPACE)
     if len(s) < 2 or c.PAIRS.get(s[0]) != s[-1]:
@@ -109,7 +79,105 @@ def _bracketed(s: str) -> bool:
         depth += (x == s[0]) - (x == s[-1])
         if depth < 0:
             return False
-    return bool(inner) and depth == 0 and _mostly_han(inner)
+    return bool(inner) and depth == 0 and _Han(inner).mostly
+
+
+class _Han:
+    """Han and ASCII letters of a text that grows: some Han, no fewer than letters, never over four letters more."""
+
+    def __init__(self, text: str = ""):
+        self.lead = self.most = self.han = 0
+        self.add(text)
+
+    def add(self, text: str) -> None:
+        for x in _HAN_OR_LETTER.findall(text):
+            if x.isascii():
+                self.lead += 1
+                self.most = max(self.most, self.lead)
+            else:
+                self.lead -= 1
+                self.han += 1
+
+    @property
+    def mostly(self) -> bool:
+        return self.han > 0 and self.lead <= 0 and self.most <= 4
+
+
+class Buffer:
+    """Lines of a paragraph so far, and what the rules ask of them."""
+
+    def __init__(self):
+        self.parts: list[str] = []
+        self.size, self.head, self.tail = 0, "", ""
+        self.stack: list[str] = []  # closers that are due
+        self.spoilt = False
+        self.han, self.counted = _Han(), 0
+
+    def add(self, text: str) -> None:
+        self.parts.append(text)
+        self.size += len(text)
+        if len(self.head) < _HEAD:
+            self.head += text
+        self.tail = (self.tail + text)[-_HEAD:] if len(text) < _HEAD else text
+        for x in () if self.spoilt else _BRACKET.findall(text):
+            if x in c.PAIRS:
+                self.stack.append(c.PAIRS[x])
+            elif not self.stack or self.stack.pop() != x:
+                self.spoilt = True
+                break
+
+    @property
+    def text(self) -> str:
+        return "".join(self.parts)
+
+    @property
+    def nests(self) -> bool:
+        return not self.spoilt and not self.stack
+
+    @property
+    def mostly_han(self) -> bool:
+        while self.counted < len(self.parts):
+            self.han.add(self.parts[self.counted])
+            self.counted += 1
+        return self.han.mostly
+
+    @property
+    def end(self) -> str:
+        """The end of the text, white space behind it gone."""
+        s = self.tail.rstrip(_SPACE)
+        return s if s or len(self.tail) == self.size else self.text.rstrip(_SPACE)
+
+    @property
+    def last(self) -> str:
+        return self.end[-1:]
+
+    @property
+    def begins_list(self) -> bool:
+        return bool(_LIST.match(self.head if self.head.strip(_SPACE) else self.text))
+
+    @property
+    def bracketed(self) -> bool:
+        if c.PAIRS.get(self.head.lstrip(_SPACE)[:1], "") != self.last and self.head.strip(_SPACE):
+            return False
+        return _bracketed(self.text)
+
+    def sentence_ends(self, level: int) -> bool:
+        s = self.end
+        last, head = s[-1:], s[:-1].rstrip(_SPACE)
+        if not last:
+            return False
+        if last in c.STRONG_END or level >= 3 and last in ".:" and _HAN.match(s[-2:-1]) and self.mostly_han:
+            return True
+        if last in c.DIALOG_CLOSE + "）)" and head:
+            if head[-1] in c.STRONG_END:
+                return True
+            if head[-1] == "." and _HAN.match(head[:-1].rstrip(_SPACE)[-1:]) and self.mostly_han:
+                return True
+        if level >= 3:
+            return False
+        if (last == "：" or s.endswith(("…", "..."))) and self.mostly_han:
+            return True
+        return level < 2 and last in "；：;:"
 
 
 class Walk:
@@ -118,13 +186,13 @@ class Walk:
     def __init__(self, keep_blank: bool, level: int):
         self.keep_blank, self.level = keep_blank, level
         self.out: list[tuple[str, str]] = []
-        self.buffer = ""
+        self.buffer = Buffer()
         self.depth = [0] * len(p.QUOTE_COUNTERS)
 
     def flush(self, rule: str, reset: bool = True) -> None:
-        if self.buffer:
-            self.out.append((self.buffer, rule))
-            self.buffer = ""
+        if self.buffer.size:
+            self.out.append((self.buffer.text, rule))
+            self.buffer = Buffer()
             if reset:
                 self.depth = [0] * len(self.depth)
 
@@ -135,33 +203,27 @@ class Walk:
     def take(self, text: str, anew: bool = False) -> None:
         if anew:
             self.depth = [0] * len(self.depth)
-        self.buffer += text
-        for x in text:
-            k = _MARK.get(x)
-            if k is not None and x not in "〞〟":
-                self.depth[k] = self.depth[k] + 1 if x == p.QUOTE_COUNTERS[k][0] else max(0, self.depth[k] - 1)
+        self.buffer.add(text)
+        for x in _QUOTE.findall(text):
+            k = _MARK[x]
+            self.depth[k] = self.depth[k] + 1 if x == p.QUOTE_COUNTERS[k][0] else max(0, self.depth[k] - 1)
 
     @property
     def talking(self) -> bool:
         return any(self.depth)
 
-    @property
-    def last(self) -> str:
-        return self.buffer.rstrip(_SPACE)[-1:]
-
     def heading_stands(self, line) -> bool:
-        if not self.buffer:
+        if not self.buffer.size:
             return True
-        if not _nests(self.buffer):
+        if not self.buffer.nests:
             return False
-        if not self.last:
-            return True
-        return self.last not in c.COMMA and not (line["continues"] and self.last not in c.CLAUSE_END)
+        last = self.buffer.last
+        return not last or last not in c.COMMA and not (line["continues"] and last not in c.CLAUSE_END)
 
     def step(self, line) -> None:
         text, kind = line["text"], line["kind"]
         if kind == "empty":
-            if not self.keep_blank and self.buffer and (self.talking or not _nests(self.buffer) or self.last and self.last not in c.STRONG_END):
+            if not self.keep_blank and self.buffer.size and (self.talking or not self.buffer.nests or (last := self.buffer.last) and last not in c.STRONG_END):
                 return
             self.flush("blank line")
         elif kind in ("divider", "marker", "custom title", "title", "metadata") or kind == "heading" and self.heading_stands(line):
@@ -180,30 +242,31 @@ class Walk:
         elif line["list"] and line["alone"] and sound:
             self.emit(text, "list item", reset=False)
         else:
-            parted = self.last and self.last not in c.COMMA and not _HAN.match(self.last) and not self.talking and _nests(self.buffer)
-            if parted or line["list"] and self.buffer and _LIST.match(self.buffer):
+            last = self.buffer.last
+            parted = last and last not in c.COMMA and not _HAN.match(last) and not self.talking and self.buffer.nests
+            if parted or line["list"] and self.buffer.size and self.buffer.begins_list:
                 self.flush("opening", reset=False)
             self.take(text, anew=line["dialog"])
 
     def ordinary(self, line) -> None:
-        text = line["text"]
+        text, buffer = line["text"], self.buffer
         if line["alone"] and not self.talking and not line["closer"] and not line["quote"]:
-            if self.buffer and (len(self.buffer) > 120 or _nests(self.buffer)):
-                self.buffer += text
+            if buffer.size and (buffer.size > 120 or buffer.nests):
+                buffer.add(text)
                 self.flush("sentence end")
                 return
-            if not self.buffer and not line["bracket"]:
+            if not buffer.size and not line["bracket"]:
                 self.emit(text, "sentence end")
                 return
-        if not self.buffer:
+        if not buffer.size:
             self.take(text, anew=True)
         elif line["closer"]:
-            before = text.rstrip(_SPACE)[:-1].rstrip(_SPACE)[-1:] or self.last
-            spoilt = not _nests(self.buffer)
+            before = text.rstrip(_SPACE)[:-1].rstrip(_SPACE)[-1:] or buffer.last
+            spoilt = not buffer.nests
             self.take(text)
-            if not self.talking and before and before in c.CLAUSE_END and (not spoilt or line["bracket"] or len(self.buffer) > 120):
+            if not self.talking and before and before in c.CLAUSE_END and (not spoilt or line["bracket"] or buffer.size > 120):
                 self.flush("dialog end")
-        elif not self.talking and (_sentence_ends(self.buffer, self.level) and _nests(self.buffer) or _bracketed(self.buffer) or line["indent"]):
+        elif not self.talking and (buffer.sentence_ends(self.level) and buffer.nests or buffer.bracketed or line["indent"]):
             self.flush("boundary")
             self.take(text, anew=True)
         else:
@@ -212,19 +275,28 @@ class Walk:
 
 _LIST = re.compile(p.LIST_STARTER.replace(c.W, _SPACE).replace(c.CJK, "㐀-䶿一-鿿豈-﫿"))
 _SEGMENTS = "array<struct<text: string, rule: string>>"
-
-
-def _walk(options: PdfOptions, level: int):
-    @F.pandas_udf(_SEGMENTS)
-    def run(lines: pd.Series) -> pd.Series:
-        out = []
-        for doc in lines:
-            w = Walk(options.add_page_header, level)
-            for line in doc:
-                w.step(line)
-            w.flush("end")
-            out.append([{"text": a, "rule": b} for a, b in w.out])
-        return pd.Series(out)
+_SEGMENT = pa.list_(pa.struct([("text", pa.string()), ("rule", pa.string())]))
+#: Documents whose lines a worker has as Python objects at once.
+_ROWS = 200
+
+
+def _walked(options: PdfOptions, level: int, names: list[str]):
+    """Over documents whose last column are their lines' facts: the documents with segments and their text instead."""
+    between = "\n" if options.compact else "\n\n"
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for k in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(k, _ROWS)
+                out = []
+                for doc in b.column(b.num_columns - 1).to_pylist():
+                    w = Walk(options.add_page_header, level)
+                    for line in doc:
+                        w.step(line)
+                    w.flush("end")
+                    out.append([{"text": t, "rule": r} for t, r in w.out])
+                texts = pa.array([between.join(s["text"] for s in doc) for doc in out], pa.string())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, _SEGMENT), texts], names)
 
     return run
 
@@ -236,13 +308,14 @@ def reflow(docs: DataFrame, options: PdfOptions | None = None, level: int = 2, t
     byte, with no segments.  Paragraphs are joined by one line break (compact) or two.
     """
     options, level = options or PdfOptions(), boundary_level(level)
-    own = docs.withColumn("_kind", F.when(F.coalesce(c.strip(F.col(text_col)), F.lit("")) == "", "blank").when(p.latin_leading(F.col(text_col)), "latin").otherwise("cjk"))
-    none = F.array().cast(_SEGMENTS)
-    as_is = own.where("_kind <> 'cjk'").withColumn("segments", none).withColumn("reflowed", F.when(F.col("_kind") == "latin", F.col(text_col)).otherwise(""))
-    lines = F.transform(F.split(t.normalize_newlines(F.col(text_col)), "\n", -1), lambda x: line_facts(x, options))
-    joined = F.array_join(F.transform("segments", lambda x: x["text"]), "\n" if options.compact else "\n\n")
-    walked = own.where("_kind = 'cjk'").withColumn("segments", _walk(options, level)(lines)).withColumn("reflowed", joined)
-    return walked.unionByName(as_is).drop("_kind")
+    docs = docs.drop("segments", "reflowed")
+    text = F.col(text_col)
+    own = docs.withColumn("_kind", F.when(F.coalesce(c.strip(F.left(text, F.lit(_HEAD))), F.lit("")) != "", F.when(p.latin_leading(text), "latin").otherwise("cjk")).when(F.coalesce(c.strip(text), F.lit("")) == "", "blank").when(p.latin_leading(text), "latin").otherwise("cjk"))
+    as_is = own.where("_kind <> 'cjk'").withColumn("segments", F.array().cast(_SEGMENTS)).withColumn("reflowed", F.when(F.col("_kind") == "latin", text).otherwise("")).drop("_kind")
+    lines = F.transform(F.split(t.normalize_newlines(text), "\n", -1), lambda x: line_facts(x, options))
+    schema = StructType([*docs.schema.fields, StructField("segments", ArrayType(StructType([StructField("text", StringType()), StructField("rule", StringType())]))), StructField("reflowed", StringType())])
+    walked = own.where("_kind = 'cjk'").drop("_kind").withColumn("_lines", lines).mapInArrow(_walked(options, level, schema.names), schema)
+    return walked.unionByName(as_is)
 
 
 def paragraphs(reflowed: DataFrame, id_col: str = "doc_id") -> DataFrame:

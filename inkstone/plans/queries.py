@@ -69,11 +69,32 @@ def query(name: str, sql: str | None = None):
 
 
 def line_query(name: str, flag: Callable[[Column], Column], condition: str, source=documents, ctes: str = LINES) -> None:
-    """Lines of which a predicate holds."""
+    """Whether a predicate holds, for every line."""
 
-    @query(name, f"{ctes} SELECT doc_id, line_no, line FROM lines WHERE {condition}")
+    @query(name, f"{ctes} SELECT doc_id, line_no, line, ({condition}) AS holds FROM lines")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return lines(source(spark, sf)).where(flag(F.col("line")))
+        return lines(source(spark, sf)).withColumn("holds", flag(F.col("line")))
+
+
+#: Projections of words, each a line, for which predicates on short lines hold often and fail often.
+_CONSONANTS = "bcdfghjklmnpqrstvwxyz"
+WORDS = {
+    "han": ("aeiou", "的一是了我"),
+    "digits": (_CONSONANTS, "123456789０１２３４５６７８９00"),
+    "signs": (_CONSONANTS, "─═-=~～*＊★☆_─═-=~～*＊★☆"),
+    "lists": ("thoans", "1)（2-."),
+    "titles": ("thearn", "第章一回节分"),
+}
+
+
+def words(kind: str) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    """Documents with a word a line, and the same lines in SQL."""
+    old, new = WORDS[kind]
+
+    def source(spark: SparkSession, sf: str) -> DataFrame:
+        return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.translate(F.translate(F.lower("text"), old, new), " ", "\n").alias("text"))
+
+    return source, f"WITH docs AS (SELECT doc_id, replace(translate(lower(text), '{old}', '{new}'), ' ', chr(10)) AS text FROM documents), {CTE_LINES}"
 
 
 # ---------------------------------------------------------------- characters and lines
@@ -99,17 +120,17 @@ def mostly_cjk(spark, sf):
     return lines(documents(spark, sf)).where(p.mostly_cjk(F.col("line"))).select("doc_id", "line_no")
 
 
-line_query("all_ascii", p.all_ascii, HAS("line", r"^[\x00-\x7F]+$"))
-line_query("all_ascii_digits", p.all_ascii_digits, HAS("line", rf"^[ {c.DIGIT}]*[{c.DIGIT}][ {c.DIGIT}]*$"))
-line_query("all_cjk", p.all_cjk, HAS("line", rf"^[{c.CJK}]+$"))
-line_query("all_cjk_spaced", lambda s: p.all_cjk(s, True), f"{HAS('line', f'^[{c.W}{c.CJK}]+$')} AND {HAS('line', f'[{c.CJK}]')}")
+line_query("all_ascii", p.all_ascii, HAS("line", r"^[\x00-\x7F]+$"), *words("han"))
+line_query("all_ascii_digits", p.all_ascii_digits, HAS("line", rf"^[ {c.DIGIT}]*[{c.DIGIT}][ {c.DIGIT}]*$"), *words("digits"))
+line_query("all_cjk", p.all_cjk, HAS("line", rf"^[{c.CJK}]+$"), *words("han"))
+line_query("all_cjk_spaced", lambda s: p.all_cjk(s, True), f"{HAS('line', f'^[{c.W}{c.CJK}]+$')} AND {HAS('line', f'[{c.CJK}]')}", *words("han"))
 _A = f"{c.LETTER}{c.DIGIT}"
-line_query("mixed_cjk_ascii", p.mixed_cjk_ascii, HAS("line", f"^[{c.NEUTRAL}]*([{_A}][{_A}{c.NEUTRAL}]*[{c.CJK}]|[{c.CJK}][{c.CJK}{c.NEUTRAL}]*[{_A}])"))
-line_query("visual_dividers", p.divider, f"{HAS('line', f'^[{c.W}{c.DIVIDER}]+$')} AND length(regexp_replace(line, '[{c.W}]', '', 'g')) >= 3")
-line_query("list_starters", p.begins_list, HAS("line", p.LIST_STARTER), marked, MARKED_LINES)
+line_query("mixed_cjk_ascii", p.mixed_cjk_ascii, HAS("line", f"^[{c.NEUTRAL}]*([{_A}][{_A}{c.NEUTRAL}]*[{c.CJK}]|[{c.CJK}][{c.CJK}{c.NEUTRAL}]*[{_A}])"), *words("han"))
+line_query("visual_dividers", p.divider, f"{HAS('line', f'^[{c.W}{c.DIVIDER}]+$')} AND length(regexp_replace(line, '[{c.W}]', '', 'g')) >= 3", *words("signs"))
+line_query("list_starters", p.begins_list, HAS("line", p.LIST_STARTER), *words("lists"))
 line_query("dialog_lines", lambda s: p.begins_dialog(s) | p.ends_dialog(s), f"{HAS('line', f'^[{c.W}]*[{c.DIALOG_OPEN}]')} OR {HAS('line', f'[{c.DIALOG_CLOSE}][{c.W}]*$')}", marked, MARKED_LINES)
 _TITLE = f"NOT {HAS('line', p.LATE_COMMA)} AND length(line) <= 50 AND {HAS('line', f'^({p.TITLES})')}"
-line_query("title_headings", p.title, _TITLE)
+line_query("title_headings", p.title, _TITLE, *words("titles"))
 _META = f"^[{c.W}]*([^{c.SEPARATOR}]+)[{c.SEPARATOR}][{c.W}]*([^{c.W}])"
 _KEYS = ", ".join(f"'{k}'" for k in p.METADATA_KEYS)
 
@@ -149,14 +170,51 @@ def bracket_balance(spark, sf):
 _MOSTLY = lambda s: f"len(regexp_extract_all({s}, '[{c.CJK}]')) > 0 AND len(regexp_extract_all({s}, '[{c.CJK}]')) >= len(regexp_extract_all({s}, '[{c.LETTER}]'))"
 
 
-@query("bracket_boundary", f"""WITH docs AS (SELECT doc_id, '《' || left(text, 6) || '》' || chr(10) || ' 【' || left(text, 4) || '）' || chr(10) || '（' || left(text, 3) || '（' || '）　' AS text FROM ({LINES} SELECT doc_id, text FROM docs)), {CTE_LINES},
-    x AS (SELECT *, {STRIP('line')} AS s FROM lines), y AS (SELECT *, {STRIP("regexp_replace(s, '^(?s:.)((?s:.*))(?s:.)$', chr(92) || '1')")} AS inside, left(s, 1) AS a, right(s, 1) AS b FROM x WHERE length(s) >= 2)
-    SELECT doc_id, line_no FROM y WHERE inside <> '' AND instr('{_OPEN}', a) > 0 AND translate(a, '{_OPEN}', '{"".join(c.PAIRS.values())}') = b AND {_MOSTLY('inside')}
-    AND len(regexp_extract_all(inside, '[《【（]')) = len(regexp_extract_all(inside, '[》】）]'))""")
+_WRAPS = [("《", "》"), (" 【", "）"), ("（", "（）　"), ("（", "）　")]
+
+
+@query("bracket_boundary", f"""{LINES}, x AS (SELECT doc_id, line_no, {STRIP("CASE line_no % 4 " + " ".join(f"WHEN {k} THEN '{a}' || line || '{b}'" for k, (a, b) in enumerate(_WRAPS)) + " END")} AS s FROM lines),
+    y AS (SELECT *, {STRIP("substr(s, 2, length(s) - 2)")} AS inside, left(s, 1) AS a, right(s, 1) AS b FROM x)
+    SELECT doc_id, line_no, (inside <> '' AND translate(a, '{_OPEN}', '{"".join(c.PAIRS.values())}') = b AND length(s) - length(replace(s, a, '')) = length(s) - length(replace(s, b, '')) AND {_MOSTLY('inside')}) AS holds FROM y""")
 def bracket_boundary(spark, sf):
-    cut = lambda n: F.left("text", F.lit(n))
-    d = documents(spark, sf).select("doc_id", F.concat(F.lit("《"), cut(6), F.lit("》\n 【"), cut(4), F.lit("）\n（"), cut(3), F.lit("（）　")).alias("text"))
-    return lines(d).where(p.bracket_boundary(F.col("line"))).select("doc_id", "line_no")
+    """Whole lines in brackets: of one kind, of two kinds, one opened twice, with white space behind."""
+    own = lines(documents(spark, sf))
+    k = F.col("line_no") % 4
+    wrapped = F.coalesce(*(F.when(k == n, F.concat(F.lit(a), "line", F.lit(b))) for n, (a, b) in enumerate(_WRAPS)))
+    return own.select("doc_id", "line_no", p.bracket_boundary(wrapped).alias("holds"))
+
+
+@query("clause_ends", f"""{LINES}, x AS (SELECT *, {LAST('line')} AS last FROM lines) SELECT doc_id, line_no, instr('；;：:', last) > 0 AND last <> '' AS colon_like, {HAS('line', rf'(…|[.][.])[{c.W}]*$')} AS ellipsis, instr('{c.CLAUSE_END}', last) > 0 AND last <> '' AS clause, {HAS('line', f'[{c.COMMA}]')} AS comma FROM x""")
+def clause_ends(spark, sf):
+    """Ends of clauses: soft ones, ellipses whatever stands before them, all of them; commas anywhere."""
+    s, last = F.col("line"), c.last_char(F.col("line"))
+    return lines(documents(spark, sf)).select("doc_id", "line_no", last.isin("；", ";", "：", ":").alias("colon_like"), p.ends_ellipsis(s).alias("ellipsis"), last.isin(*c.CLAUSE_END).alias("clause"), p.has_comma(s).alias("comma"))
+
+
+@query("text_cleaning", "SELECT doc_id, md5(text) AS cleaned, md5(regexp_replace(replace(replace(text, '.', chr(13) || chr(10)), ',', chr(8232)), '\\r\\n|[\\r\\f\\x{85}\\x{2028}\\x{2029}]', chr(10), 'g')) AS saved FROM documents")
+def text_cleaning(spark, sf):
+    """No-break spaces and soft hyphens, and the line ends of a saved file."""
+    text = F.col("text")
+    odd = F.replace(F.replace(text, F.lit(" "), F.lit("\xa0")), F.lit("e"), F.lit("\xade"))
+    ends = F.replace(F.replace(text, F.lit("."), F.lit("\r\n")), F.lit(","), F.lit("\u2028"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.md5(t.drop_soft_hyphens(odd)).alias("cleaned"), F.md5(t.save_newlines(ends)).alias("saved"))
+
+
+@query("object_bands", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, floor((l_quantity + l_extendedprice / 1000) * 0.5 / 5)::BIGINT AS band FROM lineitem")
+def object_bands(spark, sf):
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", t.band(F.col("l_quantity"), F.col("l_extendedprice") / 1000).alias("band"))
+
+
+@query("custom_titles", words("titles")[1] + " SELECT doc_id, line_no, regexp_matches(line, '^第.*回') AS holds FROM lines")
+def custom_titles(spark, sf):
+    own = lines(words("titles")[0](spark, sf))
+    return own.select("doc_id", "line_no", p.custom_title(F.col("line"), ShortHeading(custom_regex="^第.*回")).alias("holds"))
+
+
+@query("list_brackets", f"{MARKED_LINES}, numbered AS (SELECT doc_id, line_no, '1)' || line AS line FROM lines) SELECT doc_id, line_no, ({_STACK.replace('(line', '(substr(line, 3)')}) AS unclosed FROM numbered")
+def list_brackets(spark, sf):
+    """Brackets behind a list number, whose own bracket does not count."""
+    return lines(marked(spark, sf)).select("doc_id", "line_no", p.list_unclosed_bracket(F.concat(F.lit("1)"), "line")).alias("unclosed"))
 
 
 _CLOSE = "”’」』﹂﹄"
