@@ -67,6 +67,7 @@ class Hash:
 
 def units(raw: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, initial=0)[:, None]  # so that no square leaves the range of doubles
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
