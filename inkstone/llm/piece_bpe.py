@@ -27,7 +27,7 @@ from inkstone.llm.common import sliced, small_batches
 
 MARK = "▁"
 #: Chunks in each of the two generations that a worker remembers.
-MEMO = 300_000
+MEMO = 200_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
@@ -253,7 +253,13 @@ def decode_ids(tokens: DataFrame, model_file: str, ids_col: str = "ids", out: st
 
 
 def piece_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) for every row, through the memory of chunks."""
+    """(id, n_tokens, ids_sha256, decoded_sha256) for every row, through the memory of chunks.
+
+    Null and empty texts have no ids; the digests are those of empty strings.  Very long texts are coded in
+    parts of a megabyte that begin with a word mark, which changes no id.  Repeated rows and null ids stay;
+    encodings are independent, so that ties can't arise.  An empty table gives no rows; other columns are
+    not read.
+    """
     pieces = Pieces(model_file)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
