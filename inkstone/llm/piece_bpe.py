@@ -26,17 +26,20 @@ from pyspark.sql import functions as F
 from inkstone.llm.common import sliced, small_batches
 
 MARK = "▁"
-#: Chunks in each of the two generations that a worker remembers.
-MEMO = 200_000
+#: Chunks in each of the two generations that a worker remembers, about 330 bytes each; fewer where the ids themselves
+#: are made, as that is a stage among others whose workers keep what they had.
+MEMO, MEMO_OF_STAGE = 400_000, 200_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
 class Pieces:
     """Tables of a BPE model with byte fallback, dummy prefix and identity normalisation; pickled to the workers."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str, memo: int | None = None):
         import sentencepiece
 
+        self.room = memo or MEMO
+
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = model.get_piece_size()
         self.surface = [b"" if model.is_control(i) else model.id_to_piece(i).replace(MARK, " ").encode() for i in range(size)]
@@ -111,7 +114,7 @@ class Pieces:
                 limit, right = rank[right] + 1, halves[right][0]
             else:
                 break
-        if len(self.fits) > MEMO:
+        if len(self.fits) > self.room:
             self.fits.clear()
         self.fits[pair] = fits
         return fits
@@ -169,7 +172,7 @@ class Pieces:
         found = list(map(memo.get, chunks))
         if None in found:
             old = self.old[marked]
-            if len(memo) > MEMO:  # two generations: what is used again is kept
+            if len(memo) > self.room:  # two generations: what is used again is kept
                 self.old[marked], self.memo[marked] = old, memo = memo, {}
             for k, (c, x) in enumerate(zip(chunks, found, strict=True)):
                 if x is None and (x := memo.get(c)) is None:
@@ -223,7 +226,7 @@ def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     become the tokens of their bytes.  Repeated rows and null ids stay.  An empty table gives no rows;
     other columns are not read.
     """
-    pieces = Pieces(model_file)
+    pieces = Pieces(model_file, MEMO_OF_STAGE)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(it):
