@@ -7,6 +7,7 @@ below are small, and larger ones are read as data (slot, key, value).
 from __future__ import annotations
 
 import re
+import warnings
 from functools import reduce
 
 import pandas as pd
@@ -31,6 +32,9 @@ SAMPLE = {
     "TWPhrases": {"軟件": "軟體", "網絡": "網路"},
     "TWVariants": {"裡": "裏", "為": "爲"},
 }
+#: Tables the other way round, for the configurations that need them.
+_INVERSE = {"STCharacters": "TSCharacters", "STPhrases": "TSPhrases", "STPunctuations": "TSPunctuations", "TWPhrases": "TWPhrasesRev", "TWVariants": "TWVariantsRev"}
+SAMPLE |= {back: {v: k for k, v in SAMPLE[name].items()} for name, back in _INVERSE.items()}
 COMPAT = {"⸺": "—", "豈": "豈", "更": "更", "車": "車"}
 COMPAT_EXTENDED = {"⼀": "一", "⼈": "人", "⼤": "大", "⻚": "页"}
 # ---- end of fixed values
@@ -126,8 +130,17 @@ def round_tables(config: str, tables: dict[str, dict[str, str]] | None = None, p
 
 
 def convert(text: Column, config: str, tables: dict[str, dict[str, str]] | None = None, punctuation: bool = False) -> Column:
-    """A text through a configuration's rounds; null stays null, what no key covers stays."""
-    for table in round_tables(config, tables, punctuation):
+    """A text through a configuration's rounds; null stays null, what no key covers stays.
+
+    A round without any entry is told by a warning; a configuration none of whose rounds has one is an
+    error, as its results would be its inputs.
+    """
+    found = round_tables(config, tables, punctuation)
+    if not any(found):
+        raise ValueError(f"no dictionary has entries for {parse_config(config)}")
+    if not all(found):
+        warnings.warn(f"{parse_config(config)}: no entries for round {[n for n, x in enumerate(found, 1) if not x]}", stacklevel=2)
+    for table in found:
         text = convert_expression(text, table) if len(table) <= EXPRESSION_KEYS else convert_batches(text, table)
     return text
 
