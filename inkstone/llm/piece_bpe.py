@@ -28,7 +28,7 @@ from inkstone.llm.common import sliced, small_batches
 MARK = "▁"
 #: Chunks in each of the two generations that a worker remembers, about 330 bytes each; fewer where the ids themselves
 #: are made, as that is a stage among others whose workers keep what they had.
-MEMO, MEMO_OF_STAGE = 400_000, 200_000
+MEMO, MEMO_OF_STAGE = 400_000, 100_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
@@ -93,6 +93,9 @@ class Pieces:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "fits", "memo", "old")}
 
+    def __reduce__(self):
+        return _kept, (hash((tuple(self.surface), self.room)), self.__getstate__())
+
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
         self._ready()
@@ -206,6 +209,19 @@ class Pieces:
         return n, ids.hexdigest(), decoded.hexdigest()
 
 
+#: The last tables of a worker, which keeps what it remembers from task to task.
+_LAST: dict[int, Pieces] = {}
+
+
+def _kept(key: int, state: dict) -> Pieces:
+    if key not in _LAST:
+        _LAST.clear()
+        pieces = Pieces.__new__(Pieces)
+        pieces.__setstate__(state)
+        _LAST[key] = pieces
+    return _LAST[key]
+
+
 def _parts(text: str, size: int = 1 << 20) -> Iterator[str]:
     """A text in parts that begin with a word mark, so that a long text needs little memory."""
     at = 0
