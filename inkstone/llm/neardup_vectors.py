@@ -1,12 +1,15 @@
 """Embedding near-dedup by Euclidean p-stable hashing.
 
-Vectors are normalised, so that cosine c is distance sqrt(2 - 2c).  A table projects them on HASHES
-Gaussian directions and quantises each projection into cells of WIDTH with a random offset; the cells
-and the label are the bucket.  So many tables are made that a pair at the threshold misses all of them
-with probability MISS at most.  In a bucket, exact cosines are computed block by block in double
-precision.  A pair is counted in the first table that brings it together, so that each vector's links
-can be summed; the pairs themselves are never emitted, only counts and a spanning forest.  Equal vectors
-are one vector with a weight from the beginning.
+Vectors are normalised, so that cosine c is distance sqrt(2 - 2c).  A table projects them on Gaussian
+directions and quantises each projection into cells of WIDTH with a random offset; the cells and the
+label are the bucket.  A table has so many directions that a vector of the largest label meets about
+one that is at a right angle to it, so that the work grows with the number of vectors and a small power
+of it; and so many tables are made that a pair at the threshold misses all of them with probability
+MISS at most.  Only keys are dealt by bucket; vectors follow for buckets that more than one shares.
+There, exact cosines are computed block by block in double precision.  A pair is counted in the first
+table that brings it together, so that each vector's links can be summed; the pairs themselves are
+never emitted, only counts and a spanning forest.  Equal vectors are one vector with a weight from the
+beginning.
 """
 
 from __future__ import annotations
@@ -15,7 +18,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +26,12 @@ from inkstone.llm.common import sliced, written
 from inkstone.llm.components import components, forest
 
 COSINE = 0.93
-HASHES, WIDTH, MISS = 8, 1.5, 1e-3
+WIDTH, MISS = 3.0, 1e-3
 SEED = 20240229
-#: Vectors of a bucket that are compared at once; a larger bucket is a grid of pairs of blocks, each a task's group.
+#: Vectors of a bucket that are compared at once, about; a larger bucket is a grid of pairs of blocks, each a group of its own.
 BLOCK = 2048
+#: Projections of a batch that are held at once.
+PROJECTIONS = 1 << 22
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -39,17 +43,22 @@ def collision(distance: float, width: float = WIDTH) -> float:
     return 1 - 2 * normal - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
 
-def tables(cosine: float = COSINE, hashes: int = HASHES, width: float = WIDTH, miss: float = MISS) -> int:
+def hashes(vectors: int, width: float = WIDTH) -> int:
+    """Directions of a table with which one of so many vectors meets about one that is at a right angle to it."""
+    return math.ceil(math.log(max(vectors, 2)) / -math.log(collision(math.sqrt(2), width)))
+
+
+def tables(directions: int, cosine: float = COSINE, width: float = WIDTH, miss: float = MISS) -> int:
     """Tables that bound the probability to miss a pair at the threshold."""
-    together = collision(math.sqrt(2 - 2 * cosine), width) ** hashes
-    return math.ceil(math.log(miss) / math.log(1 - together))
+    together = collision(math.sqrt(max(0.0, 2 - 2 * cosine)), width) ** directions
+    return 1 if together == 1 else math.ceil(math.log(miss) / math.log1p(-together))
 
 
 class Hash:
     """Buckets of normalised vectors.  Vectors and directions are rounded to integers, so that sums are exact and
     a vector's buckets are the same wherever they are computed."""
 
-    def __init__(self, dimensions: int, count: int, hashes: int = HASHES, width: float = WIDTH):
+    def __init__(self, dimensions: int, count: int, hashes: int, width: float = WIDTH):
         rng = np.random.default_rng([SEED, dimensions])
         self.directions = np.rint(rng.standard_normal((dimensions, count * hashes)) * (1 << 12))
         self.offset = np.rint(rng.random(count * hashes) * width * 2.0**32)
@@ -98,97 +107,68 @@ def _result(node: np.ndarray, weight: np.ndarray, i: np.ndarray, j: np.ndarray)
     return node[at], n[at].astype(np.int64), root[at]
 
 
-_ROW = "label long, size int, tab int, key long, node long, weight long, vec binary"
-_OUT = "node long, n long, root long, label long, size int, tab int, key long, block long, weight long, vec binary"
-_NAMES = [f.split()[0] for f in _OUT.split(", ")]
-
-
-def _batch(node, n=None, root=None, large=None) -> pa.RecordBatch:
-    """Results, or (large) the vectors of a block of a bucket that exceeds a task."""
-    size = len(node)
-    none = lambda kind: pa.nulls(size, kind)
-    own = [pa.array(node, pa.int64()), none(pa.int64()) if n is None else pa.array(n, pa.int64()), none(pa.int64()) if root is None else pa.array(root, pa.int64())]
-    if large is None:
-        rest = [none(t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-    else:
-        (label, length, tab, key), block, weight, vec = large
-        rest = [pa.array([v] * size, t) for v, t in ((label, pa.int64()), (length, pa.int32()), (tab, pa.int32()), (key, pa.int64()), (block, pa.int64()))] + [pa.array(weight, pa.int64()), pa.array(vec, pa.binary())]
-    return pa.RecordBatch.from_arrays(own + rest, _NAMES)
-
-
-def _spread(count: int, kind: str):
-    """Rows of every vector, one for each table."""
+def _keys(count: int, directions: int, kind: str):
+    """The bucket of every vector in every table, as a key that the label and the length are part of."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers: dict[int, Hash] = {}
-        for b in it:
+        for b in sliced(it, max(1, PROJECTIONS // (count * directions))):
             size = b.column(1).to_numpy()
             for length in np.unique(size).tolist():
                 part = b.filter(pa.array(size == length))
-                hasher = hashers.setdefault(length, Hash(length, count))
-                keys = hasher(units(part.column(4).to_pylist(), kind))
-                for k in range(count):
-                    c = part.columns
-                    yield pa.RecordBatch.from_arrays([c[0], c[1], pa.array(np.full(len(keys), k), pa.int32()), pa.array(np.ascontiguousarray(keys[:, k])), c[2], c[3], c[4]], ["label", "size", "tab", "key", "node", "weight", "vec"])
+                hasher = hashers.setdefault(length, Hash(length, count, directions))
+                own = part.column(0).to_numpy() * np.int64(0x2545F4914F6CDD1D) + np.int64(length)
+                keys = hasher(units(part.column(3).to_pylist(), kind)) + (own ^ (own >> 31))[:, None]
+                tab = np.tile(np.arange(count, dtype=np.int32), len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(tab), pa.array(keys.ravel()), part.column(2).take(pa.array(np.repeat(np.arange(len(keys)), count)))], ["tab", "key", "node"])
 
     return run
 
 
-def _verify(count: int, cosine: float, block: int, kind: str):
-    """Over rows sorted by bucket: results of each bucket; buckets beyond ``block`` rows also leave their blocks."""
+_GROUP = ["tab", "key", "i", "j", "label", "size"]
+
+
+def _verify(count: int, directions: int, cosine: float, kind: str):
+    """Over rows sorted by group and block: (node, links, root) of each group, the vectors of a bucket's block or of two."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers: dict[int, Hash] = {}
-        held: list[tuple[int, int, bytes]] = []
-        bucket, number, out, waiting = None, 0, [], 0
-
-        def close(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, number, out, waiting
-            if len(held) > 1:
-                node, weight = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-                hasher = hashers.setdefault(bucket[1], Hash(bucket[1], count))
-                i, j = links(units([h[2] for h in held], kind), None, bucket[2], hasher, cosine)
-                if len(i):
-                    out.append(_result(node, weight, i, j))
-                    waiting += len(out[-1][0])
-            if held and (number or not last):
-                yield _batch([h[0] for h in held], large=(bucket, number, [h[1] for h in held], [h[2] for h in held]))
-            held, number = [], 0 if last else number + 1
-            if waiting > 50_000:
-                yield _batch(*map(np.concatenate, zip(*out, strict=True)))
-                out, waiting = [], 0
+        held: list[tuple[int, int, int, bytes]] = []
+        group, out, waiting = None, [], 0
+
+        def close() -> None:
+            nonlocal waiting
+            if len(held) < 2:
+                return
+            block, node, weight = np.array([h[:3] for h in held]).T
+            x = units([h[3] for h in held], kind)
+            tab, _, low, high, _, size = group
+            cut = len(x) if low == high else int(np.searchsorted(block, high))
+            hasher = hashers.setdefault(size, Hash(size, count, directions))
+            i, j = links(x[:cut], None if low == high else x[cut:], tab, hasher, cosine)
+            if len(i):
+                out.append(_result(node, weight, i, j + (0 if low == high else cut)))
+                waiting += len(out[-1][0])
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "n", "root"])
 
         for b in it:
-            key = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(4)])
-            edge = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
-            node, weight, vec = b.column(4).to_numpy(), b.column(5).to_numpy(), b.column(6)
-            for s, e in zip(edge.tolist(), [*edge[1:].tolist(), b.num_rows], strict=True):
+            key = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(len(_GROUP))])
+            edge = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])).tolist() if b.num_rows else []
+            rows = list(zip(*(b.column(k).to_pylist() for k in range(len(_GROUP), len(_GROUP) + 4)), strict=True))
+            for s, e in zip(edge, [*edge[1:], b.num_rows], strict=True) if edge else ():
                 now = tuple(key[:, s].tolist())
-                if now != bucket:
-                    yield from close(True)
-                    bucket = now
-                while s < e:
-                    take = min(e - s, block - len(held))
-                    held += zip(node[s : s + take].tolist(), weight[s : s + take].tolist(), vec[s : s + take].to_pylist(), strict=True)
-                    s += take
-                    if len(held) == block:
-                        yield from close(False)
-        yield from close(True)
+                if now != group:
+                    close()
+                    group, held = now, []
+                held += rows[s:e]
+            if waiting > 50_000:
+                yield done()
+                out, waiting = [], 0
+        close()
         if out:
-            yield _batch(*map(np.concatenate, zip(*out, strict=True)))
-
-    return run
-
-
-def _cell(count: int, cosine: float, kind: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = (pdf["block"] == pdf["i"]).to_numpy()
-        x, y = units(list(pdf["vec"][low]), kind), units(list(pdf["vec"][~low]), kind)
-        i, j = links(x, y, int(pdf["tab"].iat[0]), Hash(int(pdf["size"].iat[0]), count), cosine)
-        node = np.concatenate([pdf["node"][low], pdf["node"][~low]]).astype(np.int64)
-        weight = np.concatenate([pdf["weight"][low], pdf["weight"][~low]]).astype(np.int64)
-        node, n, root = _result(node, weight, i, j + len(x)) if len(i) else (node[:0], node[:0], node[:0])
-        return pd.DataFrame({"node": node, "n": n, "root": root})
+            yield done()
 
     return run
 
@@ -215,25 +195,24 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     link.  Every row is a vector of its own, equal ones link.  A null id has its component's smallest
     id, or null where it has none.  An empty table gives no rows; other columns are not read.
     """
-    spark = vectors.sparkSession
-    count = tables(cosine, miss=miss)
     kind = "<f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"  # what is shuffled; cosines are double
     v = F.col(vec_col) if kind == "<f4" else F.col(vec_col).cast("array<double>")
     rows = written(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), v.alias("v")).mapInArrow(_packed(kind), "id long, label long, vec binary"), "vectors")
     own = rows.where("label is not null and vec is not null")
     reps = own.groupBy("label", "vec").agg(F.min("id").alias("low"), F.count("*").alias("weight"))
     reps = written(reps.select("*", F.monotonically_increasing_id().alias("node")), "distinct-vectors")
-    spread = reps.select("label", (F.length("vec") / int(kind[-1])).cast("int").alias("size"), "node", "weight", "vec").mapInArrow(_spread(count, kind), _ROW)
-    dealt = spread.repartition("label", "size", "tab", "key").sortWithinPartitions("label", "size", "tab", "key")
-    found = written(dealt.mapInArrow(_verify(count, cosine, block, kind), _OUT), "links")
-    result = found.where("n is not null").select("node", "n", "root")
-    large = found.where("n is null").drop("n", "root")
-    if not large.isEmpty():
-        key = ["label", "size", "tab", "key"]
-        top = large.groupBy(key).agg(F.max("block").alias("top"))
-        cells = large.join(top, key).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "top"))).where("other <> block")
-        cells = cells.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("top", "other")
-        result = result.union(written(cells.groupBy(*key, "i", "j").applyInPandas(_cell(count, cosine, kind), "node long, n long, root long"), "links"))
+    sized = reps.select("label", (F.length("vec") / int(kind[-1])).cast("int").alias("size"), "node", "weight", "vec")
+    directions = hashes(sized.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0)
+    count = tables(directions, cosine, miss=miss)
+    keys = sized.select("label", "size", "node", "vec").mapInArrow(_keys(count, directions, kind), "tab int, key long, node long")
+    shared = keys.groupBy("tab", "key").agg(F.count("*").alias("members")).where("members > 1")
+    # A bucket's members are dealt over blocks of about the same size, and meet in a cell for each two blocks.
+    blocks = F.ceil(F.col("members") / block)
+    met = keys.join(shared, ["tab", "key"]).select("tab", "key", "node", F.pmod(F.xxhash64("node"), blocks).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    met = met.select("tab", "key", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    cells = met.join(sized, "node").select(*_GROUP, "block", "node", "weight", "vec")
+    dealt = cells.repartition("tab", "key", "i", "j").sortWithinPartitions(*_GROUP, "block")
+    result = written(dealt.mapInArrow(_verify(count, directions, cosine, kind), "node long, n long, root long"), "links")
     n = result.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(result, "node", "root").withColumnRenamed("node", "inner")
     of = reps.join(n, "node", "left").join(roots, F.col("node") == F.col("inner"), "left")
