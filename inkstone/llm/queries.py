@@ -77,8 +77,14 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.maxent import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_line_dedup": op6_line_dedup, "op7_token_file": op7_token_file, "op8_decontamination": op8_decontamination, "op9_language_id": op9_language_id, "op10_html_text": op10_html_text}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_line_dedup": op6_line_dedup, "op7_token_file": op7_token_file, "op8_decontamination": op8_decontamination, "op9_language_id": op9_language_id, "op10_html_text": op10_html_text, "op11_lm_scores": op11_lm_scores}
 
 
 def oracle_sql() -> dict[str, str]:
