@@ -56,11 +56,12 @@ def blocks(texts: pa.Array, how: bytes, size: int = BLOCK) -> Iterator[Terms]:
     held: list[bytes] = []
     n = row = 0
 
-    def out() -> Terms:
+    def out() -> Iterator[Terms]:
         nonlocal held, n, row
         cut, row = _cut(b" " + b"".join(held) + b" ", row)
         held, n = [], 0
-        return cut
+        if len(cut.of):
+            yield cut
 
     for t in texts.cast(pa.binary()).to_pylist():
         t = (t or b"").translate(how)
@@ -71,13 +72,13 @@ def blocks(texts: pa.Array, how: bytes, size: int = BLOCK) -> Iterator[Terms]:
                 break
             held.append(t[:at])
             t = t[at:]
-            yield out()
+            yield from out()
         held += [t, _END]
         n += len(t) + len(_END)
         if n >= size:
-            yield out()
+            yield from out()
     if held:
-        yield out()
+        yield from out()
 
 
 def hashes(words: pa.StringArray) -> np.ndarray:
