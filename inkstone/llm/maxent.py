@@ -42,6 +42,8 @@ CHUNK = 1 << 12
 LARGEST = 60.0
 #: Weight rows that travel together.
 PART = 512
+#: Bytes of input that train one task's weights, at least.
+SHARD = 16 << 20
 #: Longer words are never among the known.
 KNOWN_BYTES = 64
 #: Distinct words that a task counts before it hands them over.
@@ -241,7 +243,7 @@ def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _trained(weights, vocabulary):
-    """Over texts: (kind, part, seen, weights by seen) of the weight rows that a task has changed, in parts of PART rows."""
+    """Over texts: (kind, part, seen, weights) of the weight rows that a task has changed, in parts of PART rows; weights travel in 16 bits."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(vocabulary.value)
@@ -255,23 +257,26 @@ def _trained(weights, vocabulary):
             parts = np.flatnonzero(seen.reshape(-1, PART).any(axis=1))
             if len(parts):
                 own = [slice(p * PART, (p + 1) * PART) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), kind)), pa.array(parts), pa.array([seen[s].tobytes() for s in own], pa.binary()), pa.array([(w[s] * seen[s, None]).tobytes() for s in own], pa.binary())], ["kind", "part", "seen", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), kind)), pa.array(parts), pa.array([seen[s].tobytes() for s in own], pa.binary()), pa.array([np.where(seen[s, None] > 0, w[s], 0).astype(np.float16).tobytes() for s in own], pa.binary())], ["kind", "part", "seen", "weights"])
 
     return run
 
 
-_PARTS = "kind long, part long, seen binary, sums binary"
+_PARTS = "kind long, part long, seen binary, weights binary"
 
 
-def _added(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of equal parts; a task holds its parts once, however many tasks have sent them."""
+def _mean(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means of equal parts' rows, by how often each was seen; a task holds its parts once, however many tasks have sent them."""
     by: dict[tuple, list[np.ndarray]] = {}
     for b in it:
-        for kind, part, *own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            own = [np.frombuffer(x, np.float32).astype(float) for x in own]
-            by[kind, part] = [x + y for x, y in zip(by[kind, part], own, strict=True)] if (kind, part) in by else own
-    for (kind, part), (seen, sums) in by.items():
-        yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([part]), pa.array([seen.astype(np.float32).tobytes()], pa.binary()), pa.array([sums.astype(np.float32).tobytes()], pa.binary())], ["kind", "part", "seen", "sums"])
+        for kind, part, seen, weights in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            n = np.frombuffer(seen, np.float32).astype(float)
+            sums = np.frombuffer(weights, np.float16).reshape(PART, -1) * n[:, None]
+            old = by.get((kind, part), [0, 0])
+            by[kind, part] = [old[0] + n, old[1] + sums]
+    for (kind, part), (n, sums) in by.items():
+        mean = (sums / np.maximum(n, 1)[:, None]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([part]), pa.array([n.astype(np.float32).tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())], ["kind", "part", "seen", "weights"])
 
 
 def _scored(weights, vocabulary, names: list[str]):
@@ -337,18 +342,21 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def train(texts: DataFrame, id_col: str, text_col: str, v: Vocabulary, rounds: int = ROUNDS):
-    """The weights of classes and of words after ``rounds`` rounds, which share the texts among them by a hash of the id; every text counts in one."""
+    """The weights of classes and of words after ``rounds`` rounds, which share the texts among them by a hash of the id; every text counts in one.
+
+    A task sends some megabytes of weights, so that small input splits are joined: SHARD bytes a task, but two tasks a core.
+    """
     spark = texts.sparkSession
+    size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    tasks = int(min(1 << 30, max(2 * spark.sparkContext.defaultParallelism, size // SHARD)))
     model, shared = Model(v), spark.sparkContext.broadcast(v)  # KNOWN words of KNOWN_BYTES at most
     for k in range(rounds):
         weights = spark.sparkContext.broadcast([model.classes, model.words])  # of fixed size
-        own = texts.where(F.pmod(F.xxhash64(id_col), F.lit(rounds)) == k).select(text_col)
-        parts = own.mapInArrow(_trained(weights, shared), _PARTS).repartition("kind", "part").mapInArrow(_added, _PARTS)
-        for kind, part, seen, sums in zip(*(c.to_pylist() for c in parts.toArrow().columns), strict=True):  # the weights, once
-            seen = np.frombuffer(seen, np.float32)
-            w = (model.classes, model.words)[kind][part * PART : (part + 1) * PART]
-            some = seen > 0
-            w[some] = np.frombuffer(sums, np.float32).reshape(PART, -1)[some] / seen[some, None]
+        own = texts.where(F.pmod(F.xxhash64(id_col), F.lit(rounds)) == k).select(text_col).coalesce(tasks)
+        parts = own.mapInArrow(_trained(weights, shared), _PARTS).repartition("kind", "part").mapInArrow(_mean, _PARTS)
+        for kind, part, seen, own in zip(*(c.to_pylist() for c in parts.toArrow().columns), strict=True):  # the weights, once
+            some = np.frombuffer(seen, np.float32) > 0
+            (model.classes, model.words)[kind][part * PART : (part + 1) * PART][some] = np.frombuffer(own, np.float32).reshape(PART, -1)[some]
         weights.unpersist()
     return model, shared
 
