@@ -89,14 +89,21 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(_table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.ranked import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_line_dedup": op6_line_dedup, "op7_token_file": op7_token_file, "op8_decontamination": op8_decontamination, "op9_language_id": op9_language_id, "op10_html_text": op10_html_text, "op11_lm_scores": op11_lm_scores, "op12_source_divergence": op12_source_divergence}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_line_dedup": op6_line_dedup, "op7_token_file": op7_token_file, "op8_decontamination": op8_decontamination, "op9_language_id": op9_language_id, "op10_html_text": op10_html_text, "op11_lm_scores": op11_lm_scores, "op12_source_divergence": op12_source_divergence, "op13_ranked_search": op13_ranked_search}
 
 
 def oracle_sql() -> dict[str, str]:
     from inkstone.llm.decontaminate import contaminated_sql
     from inkstone.llm.divergence import divergence_sql
     from inkstone.llm.linededup import dropped_lines_sql
+    from inkstone.llm.ranked import search_sql
     from inkstone.llm.urlfilter import filter_sql
 
-    return {"op2_url_filter": filter_sql("pages"), "op6_line_dedup": dropped_lines_sql("documents", "source"), "op8_decontamination": contaminated_sql("documents", "benchmark"), "op12_source_divergence": divergence_sql("documents")}
+    return {"op2_url_filter": filter_sql("pages"), "op6_line_dedup": dropped_lines_sql("documents", "source"), "op8_decontamination": contaminated_sql("documents", "benchmark"), "op12_source_divergence": divergence_sql("documents"), "op13_ranked_search": search_sql("documents", "benchmark")}
