@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.functions.text import extension, stem
+from inkstone.operators.ordinals import numbered
 
 # ---- fixed values: extensions by kind
 TEXT = [".txt", ".srt", ".vtt", ".ass", ".xml", ".ttml2", ".csv", ".json", ".html", ".cs", ".py", ".java", ".md", ".js"]
@@ -33,21 +34,10 @@ def output_name(path: Column, direction: Column, config: Column) -> Column:
 def add_order(files: DataFrame) -> DataFrame:
     """Added one by one: (path, position), others by upper-cased path, then PDF in the order they came; a path is taken once."""
     once = files.groupBy("path").agg(F.min("ins").alias("ins")).withColumn("is_pdf", extension(F.col("path")) == ".pdf")
-    return _placed(once, [F.col("is_pdf"), F.when(~F.col("is_pdf"), F.upper("path")), F.col("ins")])
+    return numbered(once, [F.col("is_pdf"), F.when(~F.col("is_pdf"), F.upper("path")), F.col("ins")]).select("path", "position")
 
 
 def drop_order(files: DataFrame) -> DataFrame:
     """Dropped together: both halves by upper-cased path; paths that differ in case only are one, the first stays."""
     first = files.groupBy(F.upper("path").alias("up")).agg(F.min_by("path", "ins").alias("path"), F.min("ins").alias("ins")).withColumn("is_pdf", extension(F.col("path")) == ".pdf")
-    return _placed(first, [F.col("is_pdf"), F.col("up")])
-
-
-def _placed(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Position of each row in the order.  Rows are dealt by range and numbered in their partitions; only the partitions' sizes are summed in one task."""
-    keys = [c.alias(f"_o{k}") for k, c in enumerate(order)]
-    names = [f"_o{k}" for k in range(len(order))]
-    dealt = df.select("path", *keys).repartitionByRange(*[F.col(n).asc_nulls_first() for n in names]).sortWithinPartitions(*[F.col(n).asc_nulls_first() for n in names])
-    marked = dealt.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
-    size = marked.groupBy("_part").agg(F.count("*").alias("n"))
-    before = size.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return marked.join(F.broadcast(before), "_part").select("path", (F.col("before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("position"))
+    return numbered(first, [F.col("is_pdf"), F.col("up")]).select("path", "position")
