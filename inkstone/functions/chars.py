@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: White space, as bare \s and trim differ between engines.
 W = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Han of the Basic Multilingual Plane; supplementary planes are not counted.
+#: The same as characters, for trimming.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
 DIGIT = "0-9０-９"
 LETTER = "A-Za-z"
@@ -49,13 +51,18 @@ def utf16_length(s: Column) -> Column:
 
 
 def strip(s: Column) -> Column:
-    return F.regexp_replace(s, f"^[{W}]+|[{W}]+$", "")
+    return F.btrim(s, F.lit(WHITE))
 
 
 def first_char(s: Column) -> Column:
     """First character that is not white space, or an empty string."""
-    return F.regexp_extract(s, f"^[{W}]*([^{W}])", 1)
+    return F.left(F.ltrim(s, F.lit(WHITE)), F.lit(1))
 
 
 def last_char(s: Column) -> Column:
-    return F.regexp_extract(s, f"([^{W}])[{W}]*$", 1)
+    return F.right(F.rtrim(s, F.lit(WHITE)), F.lit(1))
+
+
+def char_before_last(s: Column) -> Column:
+    """Last but one of the characters that are not white space, or an empty string."""
+    return last_char(bound(F.rtrim(s, F.lit(WHITE)), lambda t: F.left(t, F.length(t) - 1)))

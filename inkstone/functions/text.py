@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkstone.functions.chars import W, bound
+from inkstone.functions.chars import WHITE, W, bound
 
 
 def normalize_newlines(t: Column) -> Column:
@@ -23,7 +23,7 @@ def strip_half_width_indent(s: Column) -> Column:
 
 
 def right_trim(s: Column) -> Column:
-    return F.regexp_replace(s, rf"[{W}]+\z", "")
+    return F.rtrim(s, F.lit(WHITE))
 
 
 def probe(s: Column) -> Column:
@@ -45,7 +45,7 @@ def cap_blank_lines(t: Column) -> Column:
 
 
 def trim_trailing_newlines(t: Column) -> Column:
-    return F.regexp_replace(t, r"[\r\n]+\z", "")
+    return F.regexp_replace(t, r"(?<![\r\n])[\r\n]+\z", "")
 
 
 def directory(path: Column) -> Column:
@@ -115,20 +115,35 @@ def collapse_token(token: Column) -> Column:
     return F.when(F.length(token).between(12, 100), F.regexp_replace(token, r"^(.{4,10}?)\1{2,}\z", "$1")).otherwise(token)
 
 
+#: The first phrase of up to 8 tokens that stands three times: what comes before it, and itself.  Nothing here repeats without a bound but single characters, which Java matches in a loop.
+_PHRASE = r"(?s)^(.*?)(?<![^ ])([^ ]++(?: [^ ]++){0,7}?)(?: \2){2}(?![^ ])"
+#: A token of 12 to 100 characters that is three or more copies of a unit of 4 to 10.
+_COPIES = r"(?<![^ ])(?=[^ ]{12,100}(?![^ ]))([^ ]{4,10}?)\1{2,}+(?![^ ])"
+
+
 def collapse_phrases(line: Column) -> Column:
-    """Of tokens with single spaces between: the first phrase of up to 8 tokens that stands three times or more stays once."""
-    return F.regexp_replace(line, r"^((?:[^ ]+ )*?)([^ ]+(?: [^ ]+){0,7}?)(?: \2){2,}(?= |\z)(.*)\z", "$1$2$3")
+    """Of tokens with single spaces between: the first phrase of up to 8 tokens that stands three times or more stays once; of phrases that begin there the shortest.
 
+    The expression finds the first three copies; how many follow is counted by replacing each by a tab,
+    which no token has.  Linear in the line.
+    """
+    head, phrase = F.regexp_extract(line, _PHRASE, 1), F.regexp_extract(line, _PHRASE, 2)
 
-def collapse_line(line: Column) -> Column:
-    """Runs of spaces and tabs become one space, then phrases and tokens collapse; a line without tokens stays."""
-    tokens = F.filter(F.split(line, "[ \t]+"), lambda t: t != "")
+    def once(x: Column) -> Column:
+        unit = F.concat(x["phrase"], F.lit(" "))
+        rest = F.concat(F.substr(line, F.length(x["head"]) + 1), F.lit(" "))
+        marked = F.replace(rest, unit, F.lit("\t"))
+        copies = F.length(marked) - F.length(F.ltrim(marked, F.lit("\t")))
+        out = F.concat(x["head"], unit, F.substr(rest, copies * F.length(unit) + 1))
+        return F.left(out, F.length(out) - 1)
 
-    def collapsed(tokens: Column) -> Column:
-        once = F.when(F.size(tokens) < 3, F.array_join(tokens, " ")).otherwise(collapse_phrases(F.array_join(tokens, " ")))
-        return F.when(F.size(tokens) == 0, line).otherwise(F.array_join(F.transform(F.split(once, " "), collapse_token), " "))
+    return F.when(line.rlike(_PHRASE), bound(F.struct(head.alias("head"), phrase.alias("phrase")), once)).otherwise(line)
 
-    return bound(tokens, collapsed)
+
+def collapse_line(line: Column) -> Column:
+    """Runs of spaces and tabs become one space, then phrases and tokens collapse; a line without tokens stays."""
+    spaced = F.trim(F.regexp_replace(line, "[ \t]+", " "))
+    return F.when(spaced == "", line).otherwise(F.regexp_replace(collapse_phrases(spaced), _COPIES, "$1"))
 
 
 def progress_bar(percent: Column, width: int = 10) -> Column:

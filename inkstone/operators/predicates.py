@@ -25,6 +25,7 @@ from inkstone.functions.chars import (
     W,
     any_of,
     bound,
+    char_before_last,
     first_char,
     last_char,
     strip,
@@ -57,12 +58,12 @@ def all_ascii(s: Column) -> Column:
 
 
 def all_ascii_digits(s: Column) -> Column:
-    return s.rlike(rf"^[ {DIGIT}]*[{DIGIT}][ {DIGIT}]*\z")
+    return s.rlike(rf"^[ {DIGIT}]+\z") & s.rlike(f"[{DIGIT}]")
 
 
 def all_cjk(s: Column, white_space: bool = False) -> Column:
     if white_space:
-        return s.rlike(rf"^[{W}{CJK}]*[{CJK}][{W}{CJK}]*\z")
+        return s.rlike(rf"^[{W}{CJK}]+\z") & contains_cjk(s)
     return s.rlike(rf"^[{CJK}]+\z")
 
 
@@ -130,7 +131,7 @@ def ends_strong(s: Column) -> Column:
 
 
 def divider(s: Column) -> Column:
-    return s.rlike(rf"^[{W}]*(?:[{DIVIDER}][{W}]*){{3,}}\z")
+    return s.rlike(rf"^[{W}{DIVIDER}]+\z") & s.rlike(f"^(?:[{W}]*[{DIVIDER}]){{3}}")
 
 
 def indented(raw: Column) -> Column:
@@ -153,9 +154,10 @@ def custom_title(s: Column, heading: ShortHeading) -> Column:
 def metadata(line: Column) -> Column:
     """``key separator value`` of 30 UTF-16 units at most, with a known key and a value that opens no dialog."""
     rx = f"^[{W}]*([^{SEPARATOR}]+)[{SEPARATOR}][{W}]*([^{W}])"
-    raw = F.regexp_extract(line, rx, 1)
-    value = F.regexp_extract(line, rx, 2)
-    return (utf16_length(line) <= 30) & line.rlike(rx) & F.length(raw).between(1, MAX_KEY) & strip(raw).isin(METADATA_KEYS) & ~value.isin(*DIALOG_OPEN)
+    short = F.when(utf16_length(line) <= 30, line).otherwise("")  # the expression never sees a longer line
+    raw = F.regexp_extract(short, rx, 1)
+    value = F.regexp_extract(short, rx, 2)
+    return F.length(raw).between(1, MAX_KEY) & strip(raw).isin(METADATA_KEYS) & ~value.isin(*DIALOG_OPEN)
 
 
 def _unbalanced(marks: Column, up: Column) -> Column:
@@ -258,38 +260,39 @@ def sentence_boundary(s: Column, level: int = 2) -> Column:
         case = case.when((last == "：") & mostly_cjk(s), True).when(s.rlike(rf"(?:…|\.\.\.)[{W}]*\z") & mostly_cjk(s), True)
         return case.otherwise(False) if level >= 2 else case.otherwise(last.isin("；", "：", ";", ":"))
 
-    before = F.regexp_extract(s, rf"([^{W}])[{W}]*[^{W}][{W}]*\z", 1)
-    return bound(F.struct(last_char(s).alias("last"), before.alias("before")), lambda x: ladder(x["last"], x["before"]))
+    return bound(F.struct(last_char(s).alias("last"), char_before_last(s).alias("before")), lambda x: ladder(x["last"], x["before"]))
 
 
-def short_heading(line: Column, heading: ShortHeading | None = None) -> Column:
-    """The ladder of short headings."""
+def heading_ladder(s: Column, last: Column, n: Column, unclosed: Column, heading: ShortHeading | None = None) -> Column:
+    """The ladder of short headings over what is known of a line: trimmed text, last visible character, UTF-16 length, a bracket or quote left open."""
     h = heading or ShortHeading()
     base = min(30, max(3, h.max_len))
     wide = min(30, max(10, 2 * base))
+    longer = F.lit(False)
+    kinds = F.lit(False)
+    if h.all_ascii:
+        longer, kinds = longer | all_ascii(s), kinds | all_ascii(s)
+    if h.mixed:
+        longer, kinds = longer | mixed_cjk_ascii(s), kinds | mixed_cjk_ascii(s)
+    if h.all_cjk:
+        kinds = kinds | all_cjk(s)
+    if h.all_ascii_digits:
+        kinds = kinds | all_ascii_digits(s)
+    return (
+        F.when((s == "") | page_marker(s), False)
+        .when(unclosed, False)
+        .when(last.isin(*COLON) & (n <= h.max_len) & s.rlike(rf"^[{CJK}]+[{COLON}]\z"), True)
+        .when(last.isin("）", ")") & ~has_comma(s), True)
+        .when(wrapped(s) & mostly_cjk(s), True)
+        .when(last.isin(*CLAUSE_END) | has_comma(s), False)
+        .when(n > wide, False)
+        .when((n > base) & ~longer, False)
+        .when(has_strong_end(s), False)
+        .otherwise(kinds)
+    )
 
-    def ladder(s: Column, last: Column, n: Column) -> Column:
-        longer = F.lit(False)
-        kinds = F.lit(False)
-        if h.all_ascii:
-            longer, kinds = longer | all_ascii(s), kinds | all_ascii(s)
-        if h.mixed:
-            longer, kinds = longer | mixed_cjk_ascii(s), kinds | mixed_cjk_ascii(s)
-        if h.all_cjk:
-            kinds = kinds | all_cjk(s)
-        if h.all_ascii_digits:
-            kinds = kinds | all_ascii_digits(s)
-        return (
-            F.when((s == "") | page_marker(s), False)
-            .when(unclosed_bracket(s) | unclosed_quote(s), False)
-            .when(last.isin(*COLON) & (n <= h.max_len) & s.rlike(rf"^[{CJK}]+[{COLON}]\z"), True)
-            .when(last.isin("）", ")") & ~has_comma(s), True)
-            .when(wrapped(s) & mostly_cjk(s), True)
-            .when(last.isin(*CLAUSE_END) | has_comma(s), False)
-            .when(n > F.when(longer, wide).otherwise(base), False)
-            .when(has_strong_end(s), False)
-            .otherwise(kinds)
-        )
 
+def short_heading(line: Column, heading: ShortHeading | None = None) -> Column:
+    """The ladder of short headings."""
     parts = lambda s: F.struct(s.alias("s"), last_char(s).alias("last"), utf16_length(s).alias("n"))
-    return bound(bound(strip(line), parts), lambda x: ladder(x["s"], x["last"], x["n"]))
+    return bound(bound(strip(line), parts), lambda x: heading_ladder(x["s"], x["last"], x["n"], unclosed_bracket(x["s"]) | unclosed_quote(x["s"]), heading))

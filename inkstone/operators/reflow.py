@@ -1,18 +1,20 @@
 """Paragraph reflow: broken lines of Chinese text are put together into paragraphs.
 
-All facts about a line are columns, each computed once: a document stays one row, its lines are an array
-of structs, and nothing is shuffled.  Only the walk over the lines, which carries a buffer, is Python, on
-Arrow batches; what it asks about the buffer is kept as the buffer grows, so that it is linear in the text.
-Latin texts leave by a branch of their own and never reach it.
+Lines are rows: a document is exploded, its lines follow each other in one task, and all facts about a line
+are columns of generated code.  The walk over the lines, which carries a buffer, is Python on Arrow batches;
+it gets a line's text, kind and flags, and holds one paragraph, not one document.  What it asks about the
+buffer is kept as the buffer grows, so that it is linear in the text.  One scan, no shuffle.  A Latin text is
+a single row that goes through as it is.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -21,7 +23,7 @@ from inkstone.functions import text as t
 from inkstone.operators import predicates as p
 from inkstone.options import PdfOptions, boundary_level
 
-_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = c.WHITE
 _HAN = re.compile("[㐀-䶿一-鿿豈-﫿]")
 _HAN_OR_LETTER = re.compile("[㐀-䶿一-鿿豈-﫿A-Za-z]")
 _MARK = {x: k for k, pair in enumerate(p.QUOTE_COUNTERS) for x in "".join(pair)}
@@ -31,41 +33,48 @@ _QUOTE = re.compile("[" + "".join(a + b for a, b in p.QUOTE_COUNTERS).translate(
 _HEAD = 256
 
 
-def line_facts(raw: Column, options: PdfOptions) -> Column:
-    """STRUCT of what the walk asks of a line."""
-
-    def facts(text: Column, is_divider: Column, probe: Column, is_list: Column) -> Column:
-        kind = (
-            F.when(is_divider, "divider")
-            .when(text == "", "empty")
-            .when(p.page_marker(text), "marker")
-            .when(p.custom_title(probe, options.short_heading), "custom title")
-            .when(p.title(probe), "title")
-            .when(p.metadata(probe), "metadata")
-            .when(p.short_heading(probe, options.short_heading), "heading")
-            .otherwise("text")
-        )
-        standalone = p.ends_strong(text) | p.ends_colon(text) | p.ends_ellipsis(text)
-        return F.struct(
-            text.alias("text"),
-            kind.alias("kind"),
-            (p.all_cjk(text, white_space=True) | p.ends_colon(text) | c.last_char(text).isin("）", ")")).alias("continues"),
-            p.begins_dialog(text).alias("dialog"),
-            is_list.alias("list"),
-            p.ends_dialog(text).alias("closer"),
-            F.when(is_list, p.list_unclosed_bracket(text)).otherwise(p.unclosed_bracket(text)).alias("bracket"),
-            p.unclosed_quote(text).alias("quote"),
-            standalone.alias("alone"),
-            p.indented(raw).alias("indent"),
-        )
-
-    def shown(stripped: Column) -> Column:
-        own = F.struct(stripped.alias("text"), p.divider(t.probe(stripped)).alias("divider"))
-        own = c.bound(own, lambda x: F.struct(F.when(x["divider"], x["text"]).otherwise(t.collapse_line(x["text"])).alias("text"), x["divider"].alias("divider")))
-        own = c.bound(own, lambda x: F.struct(x["text"].alias("text"), x["divider"].alias("divider"), t.probe(x["text"]).alias("probe"), p.begins_list(x["text"]).alias("list")))
-        return c.bound(own, lambda x: facts(x["text"], x["divider"], x["probe"], x["list"]))
-
-    return c.bound(t.strip_half_width_indent(t.right_trim(raw)), shown)
+#: Kinds of lines, and flags of those that are neither alone nor empty.
+TEXT, EMPTY, DIVIDER, MARKER, CUSTOM, TITLE, METADATA, HEADING, AS_IS, BLANK = range(10)
+ALONE_KINDS = {DIVIDER: "divider", MARKER: "marker", CUSTOM: "custom title", TITLE: "title", METADATA: "metadata"}
+CONTINUES, DIALOG, LIST, CLOSER, BRACKET, QUOTE, ALONE, INDENT = (1 << k for k in range(8))
+
+
+def line_facts(lines: DataFrame, options: PdfOptions) -> DataFrame:
+    """(doc, text, kind, flags) of lines (raw, mode, doc); mode AS_IS or BLANK goes through without a look."""
+    whole = F.coalesce(F.col("mode"), F.lit(TEXT)) != TEXT
+    own = lines.select("doc", "mode", "raw", F.when(whole, "").otherwise(t.strip_half_width_indent(t.right_trim(F.col("raw")))).alias("stripped"))
+    own = own.select("*", p.divider(t.probe(F.col("stripped"))).alias("divider"))
+    own = own.select("*", F.when(F.col("divider"), F.col("stripped")).otherwise(t.collapse_line(F.col("stripped"))).alias("text"))
+    text = F.col("text")
+    own = own.select("*", t.probe(text).alias("probe"), c.last_char(text).alias("last"), p.begins_list(text).alias("list"), p.unclosed_bracket(text).alias("bracket"), p.unclosed_quote(text).alias("quote"))
+    own = own.select("*", c.strip(F.col("probe")).alias("s"))
+    last = F.col("last")
+    heading = p.heading_ladder(F.col("s"), last, c.utf16_length(F.col("s")), F.col("bracket") | F.col("quote"), options.short_heading)
+    kind = (
+        F.when(whole, F.col("mode"))
+        .when(F.col("divider"), DIVIDER)
+        .when(text == "", EMPTY)
+        .when(p.page_marker(text), MARKER)
+        .when(p.custom_title(F.col("probe"), options.short_heading), CUSTOM)
+        .when(p.title(F.col("probe")), TITLE)
+        .when(p.metadata(F.col("probe")), METADATA)
+        .when(heading, HEADING)
+        .otherwise(TEXT)
+    )
+    flags = [
+        (CONTINUES, last.isin(*c.COLON, "）", ")") | p.all_cjk(text, white_space=True)),
+        (DIALOG, c.first_char(text).isin(*c.DIALOG_OPEN)),
+        (LIST, F.col("list")),
+        (CLOSER, last.isin(*c.DIALOG_CLOSE)),
+        (BRACKET, F.when(F.col("list"), p.list_unclosed_bracket(text)).otherwise(F.col("bracket"))),
+        (QUOTE, F.col("quote")),
+        (ALONE, last.isin(*c.STRONG_END, *c.COLON) | p.ends_ellipsis(text)),
+        (INDENT, p.indented(F.col("raw"))),
+    ]
+    bits = reduce(lambda a, x: a.bitwiseOR(x), [F.when(f, bit).otherwise(0) for bit, f in flags])
+    own = own.select("doc", "raw", "text", "last", "list", "bracket", "quote", kind.cast("int").alias("kind"))
+    shown = F.when(F.col("kind") == AS_IS, F.col("raw")).otherwise(text)
+    return own.select("doc", shown.alias("text"), "kind", F.when(F.col("kind").isin(TEXT, HEADING), bits).otherwise(0).cast("int").alias("flags"))
 
 
 # ---------------------------------------------------------------- the walk's questions about its buffer
@@ -108,7 +117,8 @@ class Buffer:
 
     def __init__(self):
         self.parts: list[str] = []
-        self.size, self.head, self.tail = 0, "", ""
+        self.size = self.units = 0  # characters, and UTF-16 units
+        self.head = self.tail = ""
         self.stack: list[str] = []  # closers that are due
         self.spoilt = False
         self.han, self.counted = _Han(), 0
@@ -116,6 +126,7 @@ class Buffer:
     def add(self, text: str) -> None:
         self.parts.append(text)
         self.size += len(text)
+        self.units += len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) >> 1
         if len(self.head) < _HEAD:
             self.head += text
         self.tail = (self.tail + text)[-_HEAD:] if len(text) < _HEAD else text
@@ -212,61 +223,62 @@ class Walk:
     def talking(self) -> bool:
         return any(self.depth)
 
-    def heading_stands(self, line) -> bool:
+    def heading_stands(self, flags: int) -> bool:
         if not self.buffer.size:
             return True
         if not self.buffer.nests:
             return False
         last = self.buffer.last
-        return not last or last not in c.COMMA and not (line["continues"] and last not in c.CLAUSE_END)
+        return not last or last not in c.COMMA and not (flags & CONTINUES and last not in c.CLAUSE_END)
 
-    def step(self, line) -> None:
-        text, kind = line["text"], line["kind"]
-        if kind == "empty":
+    def step(self, text: str, kind: int, flags: int) -> None:
+        if kind == EMPTY:
             if not self.keep_blank and self.buffer.size and (self.talking or not self.buffer.nests or (last := self.buffer.last) and last not in c.STRONG_END):
                 return
             self.flush("blank line")
-        elif kind in ("divider", "marker", "custom title", "title", "metadata") or kind == "heading" and self.heading_stands(line):
-            self.emit(text, kind)
-        elif line["dialog"] or line["list"]:
-            self.opening(line)
+        elif kind in ALONE_KINDS:
+            self.emit(text, ALONE_KINDS[kind])
+        elif kind == HEADING and self.heading_stands(flags):
+            self.emit(text, "heading")
+        elif flags & (DIALOG | LIST):
+            self.opening(text, flags)
         else:
-            self.ordinary(line)
+            self.ordinary(text, flags)
 
-    def opening(self, line) -> None:
+    def opening(self, text: str, flags: int) -> None:
         """A line that opens dialog or a list item."""
-        text, sound = line["text"], not line["bracket"] and not line["quote"]
-        if line["dialog"] and line["closer"] and sound:
+        sound = not flags & (BRACKET | QUOTE)
+        if flags & DIALOG and flags & CLOSER and sound:
             self.emit(text, "dialog")
             self.depth = [0] * len(self.depth)
-        elif line["list"] and line["alone"] and sound:
+        elif flags & LIST and flags & ALONE and sound:
             self.emit(text, "list item", reset=False)
         else:
             last = self.buffer.last
             parted = last and last not in c.COMMA and not _HAN.match(last) and not self.talking and self.buffer.nests
-            if parted or line["list"] and self.buffer.size and self.buffer.begins_list:
+            if parted or flags & LIST and self.buffer.size and self.buffer.begins_list:
                 self.flush("opening", reset=False)
-            self.take(text, anew=line["dialog"])
+            self.take(text, anew=bool(flags & DIALOG))
 
-    def ordinary(self, line) -> None:
-        text, buffer = line["text"], self.buffer
-        if line["alone"] and not self.talking and not line["closer"] and not line["quote"]:
-            if buffer.size and (buffer.size > 120 or buffer.nests):
+    def ordinary(self, text: str, flags: int) -> None:
+        buffer = self.buffer
+        if flags & ALONE and not self.talking and not flags & (CLOSER | QUOTE):
+            if buffer.size and (buffer.units > 120 or buffer.nests):
                 buffer.add(text)
                 self.flush("sentence end")
                 return
-            if not buffer.size and not line["bracket"]:
+            if not buffer.size and not flags & BRACKET:
                 self.emit(text, "sentence end")
                 return
         if not buffer.size:
             self.take(text, anew=True)
-        elif line["closer"]:
+        elif flags & CLOSER:
             before = text.rstrip(_SPACE)[:-1].rstrip(_SPACE)[-1:] or buffer.last
             spoilt = not buffer.nests
             self.take(text)
-            if not self.talking and before and before in c.CLAUSE_END and (not spoilt or line["bracket"] or buffer.size > 120):
+            if not self.talking and before and before in c.CLAUSE_END and (not spoilt or flags & BRACKET or buffer.units > 120):
                 self.flush("dialog end")
-        elif not self.talking and (buffer.sentence_ends(self.level) and buffer.nests or buffer.bracketed or line["indent"]):
+        elif not self.talking and (buffer.sentence_ends(self.level) and buffer.nests or buffer.bracketed or flags & INDENT):
             self.flush("boundary")
             self.take(text, anew=True)
         else:
@@ -274,29 +286,60 @@ class Walk:
 
 
 _LIST = re.compile(p.LIST_STARTER.replace(c.W, _SPACE).replace(c.CJK, "㐀-䶿一-鿿豈-﫿"))
-_SEGMENTS = "array<struct<text: string, rule: string>>"
-_SEGMENT = pa.list_(pa.struct([("text", pa.string()), ("rule", pa.string())]))
-#: Documents whose lines a worker has as Python objects at once.
-_ROWS = 200
+_SEGMENT = pa.struct([("text", pa.string()), ("rule", pa.string())])
+
+
+class _Out:
+    """Finished documents on their way to a batch."""
+
+    def __init__(self, names: list[str], between: str):
+        self.names, self.between = names, between
+        self.docs: list[pa.StructArray] = []
+        self.ends, self.segments, self.texts = [0], [], []
+
+    def add(self, doc: pa.StructArray, segments: list[tuple[str, str]], text: str | None = None) -> None:
+        self.docs.append(doc)
+        self.segments += segments
+        self.ends.append(len(self.segments))
+        self.texts.append(self.between.join(x for x, _ in segments) if text is None else text)
+
+    def batch(self) -> pa.RecordBatch:
+        pairs = pa.StructArray.from_arrays([pa.array([s[k] for s in self.segments], pa.string()) for k in (0, 1)], fields=list(_SEGMENT))
+        segments = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pairs)
+        return pa.RecordBatch.from_arrays([*pa.concat_arrays(self.docs).flatten(), segments, pa.array(self.texts, pa.string())], self.names)
 
 
 def _walked(options: PdfOptions, level: int, names: list[str]):
-    """Over documents whose last column are their lines' facts: the documents with segments and their text instead."""
+    """Over lines in order, a document's first with the document: the documents with segments and joined text."""
     between = "\n" if options.compact else "\n\n"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in it:
-            for k in range(0, whole.num_rows, _ROWS):
-                b = whole.slice(k, _ROWS)
-                out = []
-                for doc in b.column(b.num_columns - 1).to_pylist():
-                    w = Walk(options.add_page_header, level)
-                    for line in doc:
-                        w.step(line)
-                    w.flush("end")
-                    out.append([{"text": t, "rule": r} for t, r in w.out])
-                texts = pa.array([between.join(s["text"] for s in doc) for doc in out], pa.string())
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, _SEGMENT), texts], names)
+        doc = walk = None
+
+        def close() -> None:
+            if walk is not None:
+                walk.flush("end")
+                out.add(doc, walk.out)
+
+        for b in it:
+            out = _Out(names, between)
+            docs = b.column(0)
+            first = docs.is_valid().to_numpy(zero_copy_only=False)
+            for i, (text, kind, flags) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+                if first[i]:
+                    close()
+                    doc, walk = docs.slice(i, 1), Walk(options.add_page_header, level)
+                if kind == AS_IS or kind == BLANK:
+                    out.add(doc, [], text if kind == AS_IS else "")
+                    walk = None
+                else:
+                    walk.step(text, kind, flags)
+            if out.docs:
+                yield out.batch()
+        out = _Out(names, between)
+        close()
+        if out.docs:
+            yield out.batch()
 
     return run
 
@@ -305,17 +348,23 @@ def reflow(docs: DataFrame, options: PdfOptions | None = None, level: int = 2, t
     """``docs`` with the columns segments (text and rule of each paragraph) and reflowed (joined).
 
     Null and blank texts become an empty text without segments.  Latin texts stay as they are, to the
-    byte, with no segments.  Paragraphs are joined by one line break (compact) or two.
+    byte, with no segments.  Paragraphs are joined by one line break (compact) or two.  All columns and rows
+    stay, repeated ones and nulls too; columns named segments or reflowed are replaced.
     """
     options, level = options or PdfOptions(), boundary_level(level)
     docs = docs.drop("segments", "reflowed")
     text = F.col(text_col)
-    own = docs.withColumn("_kind", F.when(F.coalesce(c.strip(F.left(text, F.lit(_HEAD))), F.lit("")) != "", F.when(p.latin_leading(text), "latin").otherwise("cjk")).when(F.coalesce(c.strip(text), F.lit("")) == "", "blank").when(p.latin_leading(text), "latin").otherwise("cjk"))
-    as_is = own.where("_kind <> 'cjk'").withColumn("segments", F.array().cast(_SEGMENTS)).withColumn("reflowed", F.when(F.col("_kind") == "latin", text).otherwise("")).drop("_kind")
-    lines = F.transform(F.split(t.normalize_newlines(text), "\n", -1), lambda x: line_facts(x, options))
-    schema = StructType([*docs.schema.fields, StructField("segments", ArrayType(StructType([StructField("text", StringType()), StructField("rule", StringType())]))), StructField("reflowed", StringType())])
-    walked = own.where("_kind = 'cjk'").drop("_kind").withColumn("_lines", lines).mapInArrow(_walked(options, level, schema.names), schema)
-    return walked.unionByName(as_is)
+    seen = F.coalesce(c.strip(F.left(text, F.lit(_HEAD))), F.lit("")) != ""
+    blank = ~seen & (F.coalesce(c.strip(text), F.lit("")) == "")
+    mode = F.when(blank, BLANK).when(p.latin_leading(text), AS_IS).otherwise(TEXT)
+    own = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("doc"), text.alias("text"), mode.alias("mode"))
+    lines = F.when(F.col("mode") == TEXT, F.split(t.normalize_newlines(F.col("text")), "\n", -1)).otherwise(F.array("text"))
+    # the document goes with its first line only, so that no line carries the whole text
+    rows = F.transform(lines, lambda x, i: F.struct(x.alias("raw"), F.when(i == 0, F.col("mode")).alias("mode"), F.when(i == 0, F.col("doc")).alias("doc")))
+    facts = line_facts(own.select(F.explode(rows).alias("x")).select("x.*"), options)
+    segments = ArrayType(StructType([StructField("text", StringType()), StructField("rule", StringType())]))
+    schema = StructType([*(StructField(f.name, f.dataType, True) for f in docs.schema.fields), StructField("segments", segments), StructField("reflowed", StringType())])
+    return facts.mapInArrow(_walked(options, level, schema.names), schema)
 
 
 def paragraphs(reflowed: DataFrame, id_col: str = "doc_id") -> DataFrame:
