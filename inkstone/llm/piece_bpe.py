@@ -13,6 +13,7 @@ characters) which are encoded alone; a worker remembers a bounded number of chun
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -94,7 +95,8 @@ class Pieces:
         return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "fits", "memo", "old")}
 
     def __reduce__(self):
-        return _kept, (hash((tuple(self.surface), self.room)), self.__getstate__())
+        state = self.__getstate__()
+        return _kept, (hashlib.sha256(pickle.dumps(state)).hexdigest(), state)  # of all that encoding depends on
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -213,7 +215,7 @@ class Pieces:
 _LAST: dict[int, Pieces] = {}
 
 
-def _kept(key: int, state: dict) -> Pieces:
+def _kept(key: str, state: dict) -> Pieces:
     if key not in _LAST:
         _LAST.clear()
         pieces = Pieces.__new__(Pieces)
