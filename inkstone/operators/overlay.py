@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.functions.chars import W, utf16_length
+from inkstone.functions.chars import W, bound, utf16_length
 
 #: Bands that lie between two kept objects when a new line begins.
 LINE_GAP = 3
@@ -17,23 +17,33 @@ def punctuation_only(s: Column) -> Column:
 
 def untrusted(norm: Column, repeats: Column) -> Column:
     """The text stands over four times in its band, or is one short token again and again."""
-    tokens = F.filter(F.split(norm, " "), lambda t: t != "")
-    first = F.try_element_at(tokens, F.lit(1))
-    same = F.size(F.filter(tokens, lambda t: t == first))
+
+    def tiled(tokens: Column) -> Column:
+        first = F.try_element_at(tokens, F.lit(1))
+        same = F.size(F.filter(tokens, lambda t: t == first))
+        return (F.size(tokens) >= 6) & ~punctuation_only(first) & (same >= F.size(tokens) - 1) & (utf16_length(first) <= 32)
+
     often = (repeats > 4) & utf16_length(norm).between(3, 200)
-    tiled = (F.size(tokens) >= 6) & ~punctuation_only(first) & (same >= F.size(tokens) - 1) & (utf16_length(first) <= 32)
-    return ~punctuation_only(norm) & (often | F.coalesce(tiled, F.lit(False)))
+    # six tokens have five spaces between them: most texts are never split
+    spaces = F.length(norm) - F.length(F.translate(norm, " ", ""))
+    again = F.when(spaces >= 5, bound(F.filter(F.split(norm, " "), lambda t: t != ""), tiled)).otherwise(False)
+    return (often | F.coalesce(again, F.lit(False))) & ~punctuation_only(norm)
+
+
+def by_page(objects: DataFrame) -> DataFrame:
+    """Text objects dealt by page: the filter, the line breaks and the page's text need no further shuffle.  A page is one text in the end, so that it is one task's work anyway."""
+    return objects.repartition("doc_id", "page_no")
 
 
 def kept_objects(objects: DataFrame) -> DataFrame:
     """(doc_id, page_no, obj_no, raw, norm, y_bucket) without blank and overlay objects.
 
-    Repeats are counted by grouping, with partial sums before the shuffle, and joined back: a page that
-    tiles one text many times over is no window of its own.
+    One scan and one shuffle, by page; repeats are counted in a window of the page's partition, whose rows
+    Spark spills where a text tiles a page many times over.  Null texts are blank; repeated rows count each.
     """
-    own = objects.where(F.col("norm") != "")
-    n = own.groupBy("doc_id", "page_no", "norm", "y_bucket").agg(F.count("*").alias("repeats"))
-    return own.join(n, ["doc_id", "page_no", "norm", "y_bucket"]).where(~untrusted(F.col("norm"), F.col("repeats"))).select("doc_id", "page_no", "obj_no", "raw", "norm", "y_bucket")
+    same = Window.partitionBy("doc_id", "page_no", "norm", "y_bucket")
+    own = by_page(objects.where(F.col("norm") != "")).withColumn("repeats", F.count("*").over(same))
+    return own.where(~untrusted(F.col("norm"), F.col("repeats"))).select("doc_id", "page_no", "obj_no", "raw", "norm", "y_bucket")
 
 
 def page_texts(kept: DataFrame) -> DataFrame:
@@ -42,7 +52,7 @@ def page_texts(kept: DataFrame) -> DataFrame:
     far = F.abs(F.col("y_bucket") - F.lag("y_bucket").over(w)) >= LINE_GAP
     parts = kept.withColumn("part", F.concat(F.when(far, "\n").otherwise(""), F.col("raw")))
     ordered = F.array_sort(F.collect_list(F.struct("obj_no", "part")))
-    return parts.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "").alias("text"))
+    return parts.groupBy("doc_id", "page_no").agg(F.array_join(ordered["part"], "").alias("text"))
 
 
 def documents_of_pages(pages: DataFrame, header: bool = True) -> DataFrame:
