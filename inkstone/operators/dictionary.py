@@ -71,6 +71,12 @@ def parse_config(name: str) -> str:
     return key if key in CONFIGS else "s2t"
 
 
+def config_of(label: Column) -> Column:
+    """The same for a column of labels."""
+    key = F.substring_index(F.lower(F.trim(label)), " ", 1)
+    return F.when(key.isin(CONFIGS), key).otherwise("s2t")
+
+
 def rounds(config: str, punctuation: bool = False) -> list[list[str]]:
     config = parse_config(config)
     extra = {"s": "STPunctuations", "t": "TSPunctuations"}.get(config.split("2")[0][:1]) if punctuation else None
@@ -89,11 +95,23 @@ def pattern(table: dict[str, str]) -> str:
 
 
 def convert_expression(text: Column, table: dict[str, str]) -> Column:
-    if not table:
-        return text
-    values = F.create_map(*(F.lit(x) for kv in sorted(table.items()) for x in kv))
-    found = F.regexp_extract_all(text, F.lit(pattern(table)), F.lit(0))
-    return F.array_join(F.transform(found, lambda w: F.coalesce(F.try_element_at(values, w), w)), "")
+    """Forward maximum matching over a small table.
+
+    Keys and values of one character are a translation.  The others are found by an expression, longest
+    first, which takes what cannot begin one of them in runs; a run, and a character that begins none after
+    all, is translated.  A text without any of the long keys is translated as a whole.
+    """
+    single = {k: v for k, v in table.items() if len(k) == len(v) == 1}
+    long = {k: v for k, v in table.items() if k not in single}
+    translated = lambda t: F.translate(t, "".join(single), "".join(single.values())) if single else t
+    if not long:
+        return translated(text)
+    keys = "|".join(re.escape(k) for k in sorted(long, key=lambda k: (-len(k), k)))
+    others = "[^" + "".join(sorted({re.escape(k[0]) for k in long})) + "]+"
+    values = F.create_map(*(F.lit(x) for kv in sorted(long.items()) for x in kv))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s){keys}|{others}|."), F.lit(0))
+    whole = F.array_join(F.transform(pieces, lambda w: F.coalesce(F.try_element_at(values, w), translated(w))), "")
+    return F.when(text.rlike(keys), whole).otherwise(translated(text))
 
 
 def match_longest(text: str, table: dict[str, str], starts: dict[str, int]) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import chars as c
 from inkstone.functions import text as t
-from inkstone.operators import batch, numbering, overlay, quotes, reflow, tables
+from inkstone.operators import batch, matching, numbering, overlay, quotes, reflow, tables
 from inkstone.operators import dictionary as dic
 from inkstone.operators import predicates as p
 from inkstone.options import PdfOptions, ShortHeading
@@ -521,9 +521,30 @@ def fmm_convert(spark, sf):
     return documents(spark, sf).select("doc_id", dic.convert(F.col("text"), "s2twp", punctuation=True).alias("text"))
 
 
-@query("config_matrix", " UNION ALL ".join(f"SELECT '{k}' AS config, {n}::BIGINT AS round, '{s}' AS slot, {m}::BIGINT AS priority" for k, rs in dic.ROUNDS.items() for n, r in enumerate(rs, 1) for m, s in enumerate(r, 1)))
-def config_matrix(spark, sf):
-    return spark.createDataFrame([(k, n, s, m) for k, rs in dic.ROUNDS.items() for n, r in enumerate(rs, 1) for m, s in enumerate(r, 1)], "config string, round long, slot string, priority long")
+@query("dictionary_convert", """WITH d AS (SELECT DISTINCT regexp_extract(text, '[a-z]{2,}', 0) AS key FROM benchmark), e AS (SELECT key, upper(key) || '!' AS value FROM d WHERE key <> ''),
+    p AS (SELECT '(?s)' || string_agg(key, '|' ORDER BY length(key) DESC, key) || '|.' AS p, map_from_entries(list((key, value))) AS m FROM e)
+    SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, p), lambda w: coalesce(m[w], w)), '') AS text FROM documents, p""")
+def dictionary_convert(spark, sf):
+    """Documents through a dictionary that is a table: words of the benchmark."""
+    key = F.regexp_extract("text", "[a-z]{2,}", 0)
+    dictionary = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.lit("STPhrases").alias("slot"), key.alias("key"), F.concat(F.upper(key), F.lit("!")).alias("value"))
+    return matching.convert_texts(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), dictionary, "s2t")
+
+
+_CONFIG = "CASE o_orderkey % 4 WHEN 0 THEN ' ' || upper({c}) WHEN 1 THEN {c} || ' (label)' WHEN 2 THEN 'x' || {c} ELSE {c} END"
+
+
+@query("config_rounds", f"""WITH k AS (SELECT o_orderkey, {_CONFIG.format(c="list_extract([" + ", ".join(map(repr, dic.CONFIGS)) + "], (o_orderkey % 20 + 1)::INT)")} AS label FROM orders), n AS (SELECT o_orderkey, split_part(lower(trim(label)), ' ', 1) AS c FROM k),
+    p AS (SELECT o_orderkey, CASE WHEN c IN ({", ".join(map(repr, dic.CONFIGS))}) THEN c ELSE 's2t' END AS config FROM n), f AS (SELECT *, split_part(config, '2', 1) AS a, split_part(config, '2', 2) AS b FROM p)
+    SELECT o_orderkey, config, (CASE WHEN a IN ('tw', 'hk') THEN 1 + (ends_with(config, 'p') AND b <> 'jp')::INT ELSE 0 END + (a = 's')::INT + (a = 'jp')::INT + (rtrim(b, 'p') = 's')::INT + CASE WHEN b IN ('tw', 'hk') THEN 1 WHEN b IN ('twp', 'hkp') THEN 2 ELSE 0 END + (b = 'jp')::INT)::BIGINT AS n_rounds FROM f""")
+def config_rounds(spark, sf):
+    """Labels of configurations, some in capitals, some with a remark, some unknown, and how many rounds each has."""
+    o, key = spark.read.parquet(f"{sf}/orders.parquet"), F.col("o_orderkey")
+    name = F.element_at(F.array(*map(F.lit, dic.CONFIGS)), (key % 20 + 1).cast("int"))
+    k = key % 4
+    label = F.when(k == 0, F.concat(F.lit(" "), F.upper(name))).when(k == 1, F.concat(name, F.lit(" (label)"))).when(k == 2, F.concat(F.lit("x"), name)).otherwise(name)
+    config = dic.config_of(label)
+    return o.select("o_orderkey", config.alias("config"), F.element_at(F.create_map(*(F.lit(x) for c_, r in dic.ROUNDS.items() for x in (c_, len(r)))), config).alias("n_rounds"))
 
 
 _SPECS = [(0, "STPhrases", "Append", "p0"), (1, "STPhrases", "Override", "p1"), (2, "STCharacters", "Append", "p2"), (3, "STPhrases", "Append", "p3")]
