@@ -16,14 +16,24 @@ class ShortHeading:
     custom_regex: str = ""
 
     def custom(self) -> str | None:
-        """The user's title pattern; None where it is blank or no pattern."""
-        if not self.custom_regex.strip():
-            return None
-        try:
-            re.compile(self.custom_regex)
-        except re.error:
-            return None
-        return self.custom_regex
+        """The user's title pattern; None where it is blank or the engine that runs it takes it for none."""
+        return self.custom_regex if self.custom_regex.strip() and is_pattern(self.custom_regex) else None
+
+
+def is_pattern(rx: str) -> bool:
+    """Whether Java, which evaluates patterns in columns, can compile one; Python's own dialect differs in both directions."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import IllegalArgumentException
+    from pyspark.sql import SparkSession
+
+    session = SparkSession.getActiveSession()
+    if session is None:
+        raise RuntimeError("a Spark session is needed to check a pattern")
+    try:
+        session._jvm.java.util.regex.Pattern.compile(rx)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
 
 
 @dataclass(frozen=True)

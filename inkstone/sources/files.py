@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,6 +104,28 @@ def dictionary_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("slot string, key string, value string").json(path)
 
 
+def dictionary_zstd(spark: SparkSession, path: str, pattern: str = "*.zst*") -> DataFrame:
+    """(slot, key, value) of files compressed by Zstandard, each a JSON object of slots, which are objects of keys and values.
+
+    Each file is a row, and is unpacked in its task by Arrow's codec; a file that can't be read gives no rows.
+    """
+
+    @F.pandas_udf("string")
+    def unpacked(content: pd.Series) -> pd.Series:
+        def text(c: bytes) -> str | None:
+            try:
+                with pa.input_stream(pa.py_buffer(c), compression="zstd") as s:
+                    return s.read().decode("utf-8-sig")
+            except (OSError, ValueError):
+                return None
+
+        return content.map(text)
+
+    slots = F.from_json(unpacked("content"), "map<string,map<string,string>>")
+    found = binary_files(spark, path, pattern).select(F.explode(slots).alias("slot", "entries"))
+    return found.select("slot", F.explode("entries").alias("key", "value"))
+
+
 def settings(default: str, user: str | None = None) -> dict:
     """Default settings with the user's over them; a file that is missing or no JSON adds nothing."""
     with open(default, encoding="utf-8-sig") as f:
