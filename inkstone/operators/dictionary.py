@@ -7,6 +7,7 @@ below are small, and larger ones are read as data (slot, key, value).
 from __future__ import annotations
 
 import re
+import unicodedata
 import warnings
 from functools import reduce
 
@@ -35,10 +36,23 @@ SAMPLE = {
 #: Tables the other way round, for the configurations that need them.
 _INVERSE = {"STCharacters": "TSCharacters", "STPhrases": "TSPhrases", "STPunctuations": "TSPunctuations", "TWPhrases": "TWPhrasesRev", "TWVariants": "TWVariantsRev"}
 SAMPLE |= {back: {v: k for k, v in SAMPLE[name].items()} for name, back in _INVERSE.items()}
-COMPAT = {"⸺": "—", "豈": "豈", "更": "更", "車": "車"}
-COMPAT_EXTENDED = {"⼀": "一", "⼈": "人", "⼤": "大", "⻚": "页"}
 # ---- end of fixed values
 
+def _decomposed(kind: str, *blocks: tuple[int, int]) -> dict[str, str]:
+    """Characters of some blocks that Unicode decomposes into one other character, canonically (no kind) or by compatibility."""
+    out = {}
+    for low, high in blocks:
+        for code in range(low, high):
+            *tag, first = unicodedata.decomposition(chr(code)).split()[:2] or [""]
+            if first and tag == ([kind] if kind else []) and len(unicodedata.decomposition(chr(code)).split()) == 1 + bool(kind):
+                out[chr(code)] = chr(int(first, 16))
+    return out
+
+
+#: From the standard library's Unicode data: compatibility ideographs, and, extended, radicals; beside them what Unicode has no mapping for.
+COMPAT = {"⸺": "—"} | _decomposed("", (0xF900, 0xFB00), (0x2F800, 0x2FA20))
+COMPAT_EXTENDED = {"⻚": "页"} | _decomposed("<compat>", (0x2E80, 0x2FE0))
+
 #: Rounds of slots for each configuration, assumed from the slots' names: characters and phrases of one table make a round.
 ROUNDS: dict[str, list[list[str]]] = {}
 for _c in CONFIGS:

@@ -581,9 +581,13 @@ def detofu(spark, sf):
     return documents(spark, sf).select("doc_id", dic.detofu(rare, _RARE, "ExtB").alias("b"), dic.detofu(rare, _RARE, "ExtC").alias("c"))
 
 
-@query("compat_normalize", f"WITH {CTE_DOCS}, x AS (SELECT doc_id, translate(text, '的一是了', '{''.join(list(dic.COMPAT)[:2])}{''.join(list(dic.COMPAT_EXTENDED)[:2])}') AS text FROM docs) SELECT doc_id, translate(text, '{''.join(dic.COMPAT)}', '{''.join(dic.COMPAT.values())}') AS plain, translate(text, '{''.join(dic.COMPAT | dic.COMPAT_EXTENDED)}', '{''.join((dic.COMPAT | dic.COMPAT_EXTENDED).values())}') AS extended FROM x")
+#: A dash, an astral ideograph, a radical that Unicode maps and one that it doesn't.
+_ODD = "".join([list(dic.COMPAT)[0], list(dic.COMPAT)[-1], list(dic.COMPAT_EXTENDED)[-1], list(dic.COMPAT_EXTENDED)[0]])
+
+
+@query("compat_normalize", f"WITH {CTE_DOCS}, x AS (SELECT doc_id, translate(text, '的一是了', '{_ODD}') AS text FROM docs) SELECT doc_id, translate(text, '⸺\U0002FA1D', '—\U0002A600') AS plain, translate(text, '⸺\U0002FA1D⿕⻚', '—\U0002A600龠页') AS extended FROM x")
 def compat_normalize(spark, sf):
-    odd = F.translate("text", "的一是了", "".join(list(dic.COMPAT)[:2] + list(dic.COMPAT_EXTENDED)[:2]))
+    odd = F.translate("text", "的一是了", _ODD)
     return documents(spark, sf).select("doc_id", dic.normalize_compat(odd).alias("plain"), dic.normalize_compat(odd, True).alias("extended"))
 
 
