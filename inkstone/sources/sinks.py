@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,17 @@ def write_files(rows: DataFrame, folder: str, name_col: str = "name", data_col:
     return marked.mapInPandas(run, _LOG)
 
 
+def counted(log: DataFrame) -> tuple[DataFrame, Observation]:
+    """A log of files, and an observation of its counts: files, written (or converted), failed, skipped.
+
+    The counts come from the very run that acts on the log, without a second pass; they can be read from the
+    observation once that run has ended.  An empty log has zeros.
+    """
+    seen = Observation("files")
+    n = lambda status: F.coalesce(F.sum(F.when(F.col("status").isin(status), 1)), F.lit(0)).alias(status[0])
+    return log.observe(seen, F.count("*").alias("files"), n(["written", "converted"]), n(["failed"]), n(["skipped"])), seen
+
+
 def write_dictionary(dictionary: DataFrame, path: str, form: str = "parquet") -> None:
     """(slot, key, value) as Parquet or JSON, a folder for each slot; Spark's commit publishes it whole."""
     dictionary.write.mode("overwrite").partitionBy("slot").format(form).save(path)

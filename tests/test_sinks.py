@@ -44,3 +44,14 @@ def test_the_pattern_is_checked_by_the_engine_that_runs_it(spark):
     assert holds(r"^\p{IsHan}+$") == [True, True, False]  # Java's alone
     assert holds("(?P<a>第)") == holds("(") == holds("  ") == [False] * 3  # Python's alone, nobody's, blank
     assert holds("^第") == [False, True, False]
+
+
+def test_counts_come_from_the_run_itself(spark, tmp_path):
+    df = spark.createDataFrame([(f"n{k % 90}", None if k % 7 == 0 else "x") for k in range(100)], "name string, text string").repartition(5)
+    log, seen = sinks.counted(sinks.write_files(df, str(tmp_path)))
+    rows = log.collect()
+    got = seen.get
+    assert got == {"files": 100, "written": sum(r.status == "written" for r in rows), "failed": sum(r.status == "failed" for r in rows), "skipped": 0}
+    assert got["written"] == len(os.listdir(tmp_path)) > 0 and got["failed"] > 20
+    log, seen = sinks.counted(sinks.write_files(df.limit(0), str(tmp_path)))
+    assert log.collect() == [] and seen.get == {"files": 0, "written": 0, "failed": 0, "skipped": 0}
