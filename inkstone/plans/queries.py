@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import chars as c
 from inkstone.functions import text as t
-from inkstone.operators import batch, matching, numbering, overlay, quotes, reflow, tables
+from inkstone.operators import batch, matching, numbering, overlay, quotes, reflow, settings, tables
 from inkstone.operators import dictionary as dic
 from inkstone.operators import predicates as p
 from inkstone.options import PdfOptions, ShortHeading
@@ -685,6 +685,17 @@ def settings_overlay(spark, sf):
     return tables.flat_overlay(*_settings(spark, sf))
 
 
+@query("settings_tables", """WITH s AS (SELECT c_custkey AS owner, 'a/k' || (c_nationkey % 5) AS kp, '"' || c_mktsegment || '"' AS kv, '[' || (c_custkey % 3) || ']' AS l, (c_custkey % 7)::VARCHAR AS b FROM customer), d AS (SELECT * FROM s ORDER BY owner LIMIT 1)
+    SELECT owner, kp AS path, kv AS value FROM s UNION ALL SELECT owner, 'a/list', l FROM s UNION ALL SELECT owner, 'b', b FROM s UNION ALL SELECT s.owner, d.kp, d.kv FROM s, d WHERE s.kp <> d.kp""")
+def settings_tables(spark, sf):
+    """Nested settings of all customers, flattened, over those of the first."""
+    c_, n = spark.read.parquet(f"{sf}/customer.parquet"), F.col("c_custkey")
+    text = F.concat(F.lit('{"a": {"k'), (F.col("c_nationkey") % 5).cast("string"), F.lit('": "'), "c_mktsegment", F.lit('", "list": ['), (n % 3).cast("string"), F.lit(']}, "b": '), (n % 7).cast("string"), F.lit("}"))
+    own = settings.flattened(c_.select(n.alias("owner"), text.alias("settings")))
+    first = c_.agg(F.min("c_custkey")).first()[0]
+    return settings.overlaid(own.where(F.col("owner") == first).select("path", "value"), own)
+
+
 _HELD = "held AS (SELECT 'A_' || page_id % 20 || '.txt' AS path FROM pages)"
 
 
