@@ -80,6 +80,7 @@ def line_query(name: str, flag: Callable[[Column], Column], condition: str, sour
 _CONSONANTS = "bcdfghjklmnpqrstvwxyz"
 WORDS = {
     "han": ("aeiou", "的一是了我"),
+    "spaced": ("aeioutnrs", "的一是了我　　的一"),
     "digits": (_CONSONANTS, "123456789０１２３４５６７８９00"),
     "signs": (_CONSONANTS, "─═-=~～*＊★☆_─═-=~～*＊★☆"),
     "lists": ("thoans", "1)（2-."),
@@ -123,7 +124,7 @@ def mostly_cjk(spark, sf):
 line_query("all_ascii", p.all_ascii, HAS("line", r"^[\x00-\x7F]+$"), *words("han"))
 line_query("all_ascii_digits", p.all_ascii_digits, HAS("line", rf"^[ {c.DIGIT}]*[{c.DIGIT}][ {c.DIGIT}]*$"), *words("digits"))
 line_query("all_cjk", p.all_cjk, HAS("line", rf"^[{c.CJK}]+$"), *words("han"))
-line_query("all_cjk_spaced", lambda s: p.all_cjk(s, True), f"{HAS('line', f'^[{c.W}{c.CJK}]+$')} AND {HAS('line', f'[{c.CJK}]')}", *words("han"))
+line_query("all_cjk_spaced", lambda s: p.all_cjk(s, True), f"{HAS('line', f'^[{c.W}{c.CJK}]+$')} AND {HAS('line', f'[{c.CJK}]')}", *words("spaced"))
 _A = f"{c.LETTER}{c.DIGIT}"
 line_query("mixed_cjk_ascii", p.mixed_cjk_ascii, HAS("line", f"^[{c.NEUTRAL}]*([{_A}][{_A}{c.NEUTRAL}]*[{c.CJK}]|[{c.CJK}][{c.CJK}{c.NEUTRAL}]*[{_A}])"), *words("han"))
 line_query("visual_dividers", p.divider, f"{HAS('line', f'^[{c.W}{c.DIVIDER}]+$')} AND length(regexp_replace(line, '[{c.W}]', '', 'g')) >= 3", *words("signs"))
@@ -184,11 +185,20 @@ def bracket_boundary(spark, sf):
     return own.select("doc_id", "line_no", p.bracket_boundary(wrapped).alias("holds"))
 
 
-@query("clause_ends", f"""{LINES}, x AS (SELECT *, {LAST('line')} AS last FROM lines) SELECT doc_id, line_no, instr('；;：:', last) > 0 AND last <> '' AS colon_like, {HAS('line', rf'(…|[.][.])[{c.W}]*$')} AS ellipsis, instr('{c.CLAUSE_END}', last) > 0 AND last <> '' AS clause, {HAS('line', f'[{c.COMMA}]')} AS comma FROM x""")
+_CLAUSES = [("。", ".."), ("了", "…"), ("，", "，；"), ("是", "："), ("大", ".")]
+_CLAUSE_TEXT = "text"
+for _a, _b in _CLAUSES:
+    _CLAUSE_TEXT = f"replace({_CLAUSE_TEXT}, '{_a}', '{_b}' || chr(10))"
+
+
+@query("clause_ends", f"WITH {CTE_DOCS.replace('docs AS', 'whole AS')}, docs AS (SELECT doc_id, {_CLAUSE_TEXT} AS text FROM whole), {CTE_LINES}, x AS (SELECT *, {LAST('line')} AS last FROM lines) SELECT doc_id, line_no, instr('；;：:', last) > 0 AND last <> '' AS colon_like, {HAS('line', rf'(…|[.][.])[{c.W}]*$')} AS ellipsis, instr('{c.CLAUSE_END}', last) > 0 AND last <> '' AS clause, {HAS('line', f'[{c.COMMA}]')} AS comma FROM x")
 def clause_ends(spark, sf):
-    """Ends of clauses: soft ones, ellipses whatever stands before them, all of them; commas anywhere."""
+    """Ends of clauses: soft ones, ellipses whatever stands before them, all of them; commas anywhere.  Lines end in dots, ellipses, colons."""
     s, last = F.col("line"), c.last_char(F.col("line"))
-    return lines(documents(spark, sf)).select("doc_id", "line_no", last.isin("；", ";", "：", ":").alias("colon_like"), p.ends_ellipsis(s).alias("ellipsis"), last.isin(*c.CLAUSE_END).alias("clause"), p.has_comma(s).alias("comma"))
+    text = F.col("text")
+    for a, b in _CLAUSES:
+        text = F.replace(text, F.lit(a), F.lit(b + "\n"))
+    return lines(documents(spark, sf).withColumn("text", text)).select("doc_id", "line_no", last.isin("；", ";", "：", ":").alias("colon_like"), p.ends_ellipsis(s).alias("ellipsis"), last.isin(*c.CLAUSE_END).alias("clause"), p.has_comma(s).alias("comma"))
 
 
 @query("text_cleaning", "SELECT doc_id, md5(text) AS cleaned, md5(regexp_replace(replace(replace(text, '.', chr(13) || chr(10)), ',', chr(8232)), '\\r\\n|[\\r\\f\\x{85}\\x{2028}\\x{2029}]', chr(10), 'g')) AS saved FROM documents")
