@@ -25,8 +25,7 @@ def paths(spark, wide):
     return spark.range(N).select(path.alias("path"), k.alias("ins"))
 
 
-@pytest.mark.parametrize("small_partitions", ["256k", "4m", "64m"], indirect=True)
-@pytest.mark.parametrize("wide", [0, 60])
+@pytest.mark.parametrize(("small_partitions", "wide"), [("256k", 0), ("4m", 60), ("64m", 0)], indirect=["small_partitions"])
 def test_a_million_paths(spark, small_partitions, wide):
     files = paths(spark, wide)
     for ordered in (batch.add_order(files), batch.drop_order(files)):

@@ -88,7 +88,9 @@ def test_one_scan_and_no_shuffle(spark):
     assert plan.count("FileScan") <= 1 and "Exchange" not in plan
 
 
-LONG = {"spaces": " " * 10**6, "spaces inside": "的" + " " * 10**6 + "x", "wide": "的" + "　" * 10**6 + "x", "digits": "1" * 10**6 + "x", "han": "的" * 10**6, "dividers": "-" * 10**6, "dividers and more": "- " * 10**5 + "x", "brackets": "（" * 1000 + "的" * 10**6, "letters": "a" * 10**6 + "的", "marks": "“" * 10**5, "dots": "." * 10**6 + "x", "closers": "」" * 10**6 + "x", "words": "w的 " * 10**6, "numbers": " ".join(map(str, range(10**5))), "same": "ab " * 10**6, "pairs": "ab cd " * 10**5 + "x", "newlines": "的" + "\n" * 10**6 + "x", "token": "abcdefgh" * 10**5}
+#: Characters of most long lines: enough for a recursion to overflow and for quadratic time to show.
+N = 300_000
+LONG = {"spaces": " " * N, "spaces inside": "的" + " " * N + "x", "wide": "的" + "　" * N + "x", "digits": "1" * N + "x", "han": "的" * N, "dividers": "-" * N, "dividers and more": "- " * 10**5 + "x", "brackets": "（" * 1000 + "的" * N, "letters": "a" * N + "的", "marks": "“" * 10**5, "dots": "." * N + "x", "closers": "」" * N + "x", "words": "w的 " * 10**6, "numbers": " ".join(map(str, range(10**5))), "same": "ab " * N, "pairs": "ab cd " * 10**5 + "x", "newlines": "的" + "\n" * N + "x", "token": "abcdefgh" * 10**5}
 
 
 @pytest.mark.parametrize("kind", sorted(LONG))
