@@ -3,13 +3,13 @@
 Vectors are normalised, so that cosine c is distance sqrt(2 - 2c).  A table projects them on Gaussian
 directions and quantises each projection into cells of WIDTH with a random offset; the cells and the
 label are the bucket.  A table has so many directions that a vector of the largest label meets about
-one that is at a right angle to it, so that the work grows with the number of vectors and a small power
-of it; and so many tables are made that a pair at the threshold misses all of them with probability
-MISS at most.  Only keys are dealt by bucket; vectors follow for buckets that more than one shares.
-There, exact cosines are computed block by block in double precision.  A pair is counted in the first
-table that brings it together, so that each vector's links can be summed; the pairs themselves are
-never emitted, only counts and a spanning forest.  Equal vectors are one vector with a weight from the
-beginning.
+MEETS that are at a right angle to it, as matrix products compare hundreds for what a further table
+costs, so that the work grows with the number of vectors and a small power of it; and so many tables are
+made that a pair at the threshold misses all of them with probability MISS at most.  A vector's buckets
+are computed once, and it is dealt to each of them.  There, exact cosines are computed block by block in
+double precision, those of small buckets many at a time.  A pair is counted in the first table that
+brings it together, so that each vector's links can be summed; the pairs themselves are never emitted,
+only counts and a spanning forest.  Equal vectors are one vector with a weight from the beginning.
 """
 
 from __future__ import annotations
@@ -22,16 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import sliced, written
+from inkstone.llm.common import broadcast_if_small, dropped, sliced, written
 from inkstone.llm.components import components, forest
 
 COSINE = 0.93
 WIDTH, MISS = 3.0, 1e-3
+#: Vectors at a right angle that one meets in a table, about, and directions of a table, at least.
+MEETS, LEAST_HASHES = 512, 4
 SEED = 20240229
 #: Vectors of a bucket that are compared at once, about; a larger bucket is a grid of pairs of blocks, each a group of its own.
-BLOCK = 2048
+BLOCK = 512
 #: Projections of a batch that are held at once.
 PROJECTIONS = 1 << 22
+#: Buckets of at most SMALL vectors are compared together, about MERGED vectors in one product.
+SMALL, MERGED = 64, 256
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -44,8 +48,8 @@ def collision(distance: float, width: float = WIDTH) -> float:
 
 
 def hashes(vectors: int, width: float = WIDTH) -> int:
-    """Directions of a table with which one of so many vectors meets about one that is at a right angle to it."""
-    return math.ceil(math.log(max(vectors, 2)) / -math.log(collision(math.sqrt(2), width)))
+    """Directions of a table with which one of so many vectors meets about MEETS that are at a right angle to it."""
+    return max(LEAST_HASHES, math.ceil(math.log(max(vectors / MEETS, 1)) / -math.log(collision(math.sqrt(2), width))))
 
 
 def tables(directions: int, cosine: float = COSINE, width: float = WIDTH, miss: float = MISS) -> int:
@@ -80,11 +84,13 @@ def units(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def links(x: np.ndarray, y: np.ndarray | None, table: int, hasher: Hash, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of x, row of y or x) at the threshold that no earlier table brings together."""
+def links(x: np.ndarray, y: np.ndarray | None, table: int, hasher: Hash, cosine: float, bucket: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of x, row of y or x) at the threshold that no earlier table brings together; of the same bucket, if x has rows of several."""
     near = x @ (x if y is None else y).T >= cosine
     if y is None:
         near = np.triu(near, 1)
+    if bucket is not None:
+        near &= bucket[:, None] == bucket
     a, b = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
     if not len(a):
         return a, b
@@ -108,7 +114,7 @@ def _result(node: np.ndarray, weight: np.ndarray, i: np.ndarray, j: np.ndarray)
 
 
 def _keys(count: int, directions: int, kind: str):
-    """The bucket of every vector in every table, as a key that the label and the length are part of."""
+    """Vectors with their buckets in every table, as keys that the label and the length are part of."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers: dict[int, Hash] = {}
@@ -118,9 +124,9 @@ def _keys(count: int, directions: int, kind: str):
                 part = b.filter(pa.array(size == length))
                 hasher = hashers.setdefault(length, Hash(length, count, directions))
                 own = part.column(0).to_numpy() * np.int64(0x2545F4914F6CDD1D) + np.int64(length)
-                keys = hasher(units(part.column(3).to_pylist(), kind)) + (own ^ (own >> 31))[:, None]
-                tab = np.tile(np.arange(count, dtype=np.int32), len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(tab), pa.array(keys.ravel()), part.column(2).take(pa.array(np.repeat(np.arange(len(keys)), count)))], ["tab", "key", "node"])
+                keys = hasher(units(part.column(4).to_pylist(), kind)) + (own ^ (own >> 31))[:, None]
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), count).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "keys"])
 
     return run
 
@@ -134,21 +140,41 @@ def _verify(count: int, directions: int, cosine: float, kind: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers: dict[int, Hash] = {}
         held: list[tuple[int, int, int, bytes]] = []
-        group, out, waiting = None, [], 0
+        small: list[tuple[int, int, int, bytes]] = []  # whole buckets of one table and length, one behind the other
+        sizes: list[int] = []
+        group, kept, out, waiting = None, None, [], 0
 
-        def close() -> None:
+        def found(rows: list[tuple[int, int, int, bytes]], tab: int, size: int, high: int | None = None, bucket: np.ndarray | None = None) -> None:
             nonlocal waiting
+            block, node, weight = np.array([h[:3] for h in rows]).T
+            x = units([h[3] for h in rows], kind)
+            cut = len(x) if high is None else int(np.searchsorted(block, high))
+            if size not in hashers:
+                hashers[size] = Hash(size, count, directions)
+            i, j = links(x[:cut], None if high is None else x[cut:], tab, hashers[size], cosine, bucket)
+            if len(i):
+                out.append(_result(node, weight, i, j + (0 if high is None else cut)))
+                waiting += len(out[-1][0])
+
+        def merged() -> None:
+            nonlocal small, sizes
+            if small:
+                found(small, *kept, bucket=np.repeat(np.arange(len(sizes)), sizes))
+            small, sizes = [], []
+
+        def close() -> None:
+            nonlocal kept
             if len(held) < 2:
                 return
-            block, node, weight = np.array([h[:3] for h in held]).T
-            x = units([h[3] for h in held], kind)
             tab, _, low, high, _, size = group
-            cut = len(x) if low == high else int(np.searchsorted(block, high))
-            hasher = hashers.setdefault(size, Hash(size, count, directions))
-            i, j = links(x[:cut], None if low == high else x[cut:], tab, hasher, cosine)
-            if len(i):
-                out.append(_result(node, weight, i, j + (0 if low == high else cut)))
-                waiting += len(out[-1][0])
+            if low != high or len(held) > SMALL:
+                found(held, tab, size, None if low == high else high)
+                return
+            if kept != (tab, size) or len(small) + len(held) > MERGED:
+                merged()
+                kept = (tab, size)
+            small.extend(held)
+            sizes.append(len(held))
 
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "n", "root"])
@@ -167,6 +193,7 @@ def _verify(count: int, directions: int, cosine: float, kind: str):
                 yield done()
                 out, waiting = [], 0
         close()
+        merged()
         if out:
             yield done()
 
@@ -204,15 +231,17 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     sized = reps.select("label", (F.length("vec") / int(kind[-1])).cast("int").alias("size"), "node", "weight", "vec")
     directions = hashes(sized.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0)
     count = tables(directions, cosine, miss=miss)
-    keys = sized.select("label", "size", "node", "vec").mapInArrow(_keys(count, directions, kind), "tab int, key long, node long")
-    shared = keys.groupBy("tab", "key").agg(F.count("*").alias("members")).where("members > 1")
-    # A bucket's members are dealt over blocks of about the same size, and meet in a cell for each two blocks.
-    blocks = F.ceil(F.col("members") / block)
-    met = keys.join(shared, ["tab", "key"]).select("tab", "key", "node", F.pmod(F.xxhash64("node"), blocks).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    met = met.select("tab", "key", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    cells = met.join(sized, "node").select(*_GROUP, "block", "node", "weight", "vec")
+    keyed = written(sized.mapInArrow(_keys(count, directions, kind), "label long, size int, node long, weight long, vec binary, keys array<long>"), "buckets")
+    keys = keyed.select("label", "size", "node", "weight", "vec", F.posexplode("keys").alias("tab", "key"))
+    # A large bucket's members are dealt over blocks of about the same size, and meet in a cell for each two blocks.
+    large = written(keys.groupBy("tab", "key").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1"), "large-buckets")
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    met = keys.join(broadcast_if_small(large), ["tab", "key"], "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    cells = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select(*_GROUP, "block", "node", "weight", "vec")
     dealt = cells.repartition("tab", "key", "i", "j").sortWithinPartitions(*_GROUP, "block")
     result = written(dealt.mapInArrow(_verify(count, directions, cosine, kind), "node long, n long, root long"), "links")
+    dropped(keyed)
+    dropped(large)
     n = result.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(result, "node", "root").withColumnRenamed("node", "inner")
     of = reps.join(n, "node", "left").join(roots, F.col("node") == F.col("inner"), "left")

@@ -63,6 +63,27 @@ def test_vectors(spark):
     assert vector_components(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_vectors_in_few_products(monkeypatch):
+    """Small buckets are compared together, and many vectors need few tables; links are those of each bucket by itself."""
+    import pyarrow as pa
+
+    from inkstone.llm import neardup_vectors as nv
+
+    assert nv.tables(nv.hashes(60_000)) <= 20
+    calls, links = [], nv.links
+    monkeypatch.setattr(nv, "links", lambda *a, **k: calls.append(1) or links(*a, **k))
+    x = np.random.default_rng(4).standard_normal((6000, 8)).astype(np.float32)
+    x[1::2] = x[::2] * np.float32(1.5)
+    x[4:6] = x[:2]  # in another bucket, so that they don't meet
+    n = len(x)
+    key = np.arange(n) // 2
+    names = ["tab", "key", "i", "j", "label", "size", "block", "node", "weight", "vec"]
+    cols = [np.zeros(n, np.int32), key, *(np.zeros(n, np.int64),) * 3, np.full(n, 8), np.zeros(n, np.int64), np.arange(n), np.ones(n, np.int64)]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array([v.tobytes() for v in x], pa.binary())], names)
+    got = {(node, k, root) for b in nv._verify(2, 4, 0.93, "<f4")(iter([batch.slice(0, 2001), batch.slice(2001)])) for node, k, root in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert got == {(i, 1, i - i % 2) for i in range(n)} and len(calls) < 100
+
+
 # ---------------------------------------------------------------- op2
 def test_urls(spark):
     from inkstone.llm.urlfilter import filter_urls
