@@ -24,7 +24,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: texts whose 5-word shingles have Jaccard similarity 0.8 or more."""
+    """One document of each group of near copies, by SimHash and Golay keys and by MinHash: texts whose 5-word shingles have Jaccard similarity 0.8 or more."""
     return deduplicate(docs)
 
 

@@ -1,16 +1,19 @@
-"""Near-dedup of texts by the Jaccard similarity of their shingles.
+"""Near-dedup of texts by SimHash with Golay-code fuzzy hashing, and by the Jaccard similarity of their shingles.
 
 Two texts link if their sets of distinct shingles of 5 words (as simhash has them: lower-cased, between
-ASCII white space) have similarity 0.8 or more.  192 MinHashes of whole texts make 38 keys of 5 hashes
-each, and a sketch of one bit a hash.  Texts of similarity 0.8 share no key with probability 3e-7, and
-differ in more than FAR of the sketch's bits with about as much, so that fewer than one such pair in a
-million is missed; of more similar pairs, fewer still.  Keys and sketches only say which texts are
-compared: a link counts after the sets themselves were compared, so that none is wrong.
-
-Equal sets collapse first.  In a key, a breadth-first search links by sketches; the groups that come of
-this hold all links, and each brings its members' sets together once.  A group beyond SHINGLES is cut
-into blocks, each pair of blocks a group of its own.  There a breadth-first search gives a spanning
-forest of the exact links, never all pairs.
+ASCII white space) have similarity 0.8 or more.  A SimHash of each set goes through the Golay keys of
+simhash, which find all fingerprints at most 4 bits apart.  Linked texts differ in ten bits on average at
+similarity 0.8, and in four or fewer one time in forty, so that others follow: 192 MinHashes of whole texts make
+38 keys of 5 hashes each, and a sketch of one bit a hash.  Texts of similarity 0.8 share no key with
+probability 3e-7, and differ in more than FAR of the sketch's bits with about as much, so that fewer than
+one such pair in a million is missed; of more similar pairs, fewer still.  Fingerprints, keys and sketches
+only say which texts are compared: a link counts after the sets themselves were compared, so that none is
+wrong.
+
+Equal sets collapse first.  In a MinHash key, a breadth-first search links by sketches; the groups that
+come of this and of the fingerprints hold all links, and each brings its members' sets together once.  A
+group beyond SHINGLES is cut into blocks, each pair of blocks a group of its own.  There a breadth-first
+search gives a spanning forest of the exact links, never all pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from inkstone.llm.common import broadcast_if_small, dropped, sliced, written
 from inkstone.llm.components import components
 from inkstone.llm.decontaminate import _parts, text_hashes
-from inkstone.llm.simhash import first_rows, one_of_each, rooted, row_hash
+from inkstone.llm.simhash import fingerprint_edges, first_rows, majority, one_of_each, rooted, row_hash
 
 WIDTH = 5
 #: Similarity of linked texts, as a fraction of integers.
@@ -86,12 +89,20 @@ def marks(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return digest, keys.view(np.int64), sketch
 
 
+def simhash(own: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes."""
+    mixed = (own ^ (own >> np.uint64(31))) * _MIX
+    return majority(mixed ^ (mixed >> np.uint64(29)))
+
+
 def _marked(width: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(it):
-            digest, keys, sketch = marks(sets(pc.fill_null(b.column(1), "").to_pylist(), width))
+            own = sets(pc.fill_null(b.column(1), "").to_pylist(), width)
+            digest, keys, sketch = marks(own)
+            sim = pa.array([simhash(s) for s in own], pa.int64())
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), KEYS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digest), lists, *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], ["id", "t", "fp", "keys", "s0", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digest), lists, *(pa.array(np.ascontiguousarray(c)) for c in sketch.T), sim], ["id", "t", "fp", "keys", "s0", "s1", "s2", "sim"])
 
     return run
 
@@ -119,6 +130,19 @@ def search(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[
 
 
 # ---------------------------------------------------------------- candidates
+def _by_simhash(marked: DataFrame, block: int) -> DataFrame:
+    """Edges (a, b) that connect the sets whose SimHashes differ in few bits, through one set of each SimHash."""
+    of = marked.select("sim", "fp").distinct()
+    one = written(of.groupBy("sim").agg(F.min("fp").alias("one")), "simhashes")
+    near = fingerprint_edges(one.select(F.col("sim").alias("fp")), block)
+    a, b = (one.select(F.col("sim").alias(x), F.col("one").alias(f"one_{x}")) for x in "ab")
+    edges = near.join(a, "a").join(b, "b").select(F.col("one_a").alias("a"), F.col("one_b").alias("b"))
+    edges = written(edges.union(of.join(one, "sim").where("fp <> one").select("fp", "one")), "near-simhashes")
+    dropped(near)
+    dropped(one)
+    return edges
+
+
 def _candidates(block: int):
     """Over rows sorted by key: edges between the texts of a key that are near by their sketches."""
 
@@ -224,13 +248,15 @@ def _verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _components(docs: DataFrame, id_col: str, text_col: str, width: int, block: int, shingles: int) -> DataFrame:
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row_hash(text_col).alias("t"))
-    marked = written(text.mapInArrow(_marked(width), "id long, t long, fp long, keys array<long>, s0 long, s1 long, s2 long"), "marks")
+    marked = written(text.mapInArrow(_marked(width), "id long, t long, fp long, keys array<long>, s0 long, s1 long, s2 long, sim long"), "marks")
     fps = written(first_rows(marked), "distinct-sets")
+    close = _by_simhash(marked, block)
     spread = marked.select("fp", "keys", "s0", "s1", "s2").dropDuplicates(["fp"]).select(F.explode("keys").alias("key"), "fp", "s0", "s1", "s2")
     spread = spread.repartition("key").sortWithinPartitions("key", "fp")
     # edges are written before they are contracted, as one stage of two Python steps would keep twice the workers
     found = written(spread.mapInArrow(_candidates(block), "a long, b long"), "near")
-    roots = components(found, "a", "b")
+    roots = components(close.union(found), "a", "b")
+    dropped(close)
     dropped(found)
     near = roots.select(F.col("node").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root").distinct())
     texts = marked.groupBy("fp").agg(F.min("t").alias("t"))

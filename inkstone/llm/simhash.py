@@ -51,7 +51,11 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
     width = min(width, len(words))
     starts = np.concatenate([[0], ends[:-1]])[: len(words) - width + 1].tolist()
     h64 = xxhash.xxh64_intdigest
-    h = np.array([h64(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    return majority(np.array([h64(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed 64-bit integer; 0 of none."""
     by = h.astype(">u8").view(np.uint8).reshape(-1, 8)
     if len(h) < 256:
         ones = np.unpackbits(by, axis=1).sum(axis=0, dtype=np.int64)

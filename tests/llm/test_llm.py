@@ -353,6 +353,32 @@ def test_near_texts_in_the_pipeline(spark):
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect()] == [1]
 
 
+def test_near_texts_by_simhash(spark, monkeypatch):
+    """The pipeline's stage takes candidates of SimHashes and Golay keys; with MinHash keys out of use it still finds them."""
+    import corpus_pipeline
+    from inkstone.llm import neardup_texts as nt
+
+    rng = np.random.default_rng(7)
+    rows, near = [], set()
+    for i in range(30):
+        w = ["w%d" % k for k in rng.integers(0, 5000, 900)]
+        v = list(w)
+        v[450] = "other"
+        rows += [(2 * i, " ".join(w), "en", "s"), (2 * i + 1, " ".join(v), "en", "s")]
+        x, y = (nt.simhash(s) for s in nt.sets([" ".join(w), " ".join(v)]))
+        if bin((x ^ y) & (1 << 64) - 1).count("1") <= 4:
+            near.add(2 * i + 1)
+    assert len(near) > 10
+
+    def none(it):
+        for b in it:
+            yield b.slice(0, 0).select([0, 1]).rename_columns(["a", "b"])
+
+    monkeypatch.setattr(nt, "_candidates", lambda block: none)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect()}
+    assert kept == set(range(60)) - near
+
+
 # ---------------------------------------------------------------- op6
 def test_line_dedup(spark):
     from inkstone.llm.linededup import drop_boilerplate
