@@ -75,20 +75,24 @@ def mixed_cjk_ascii(s: Column) -> Column:
 
 def mostly_cjk(s: Column) -> Column:
     """Some Han, no fewer than ASCII letters, and no prefix with over four letters more than Han."""
-    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, f"[^{CJK}{LETTER}]", ""), f"[{CJK}]", "0"), f"[{LETTER}]", "1")
     start = F.struct(F.lit(0).alias("lead"), F.lit(0).alias("most"))
 
     def step(a: Column, c: Column) -> Column:
         lead = a["lead"] + F.when(c == "1", 1).otherwise(-1)
         return F.struct(lead.alias("lead"), F.greatest(a["most"], lead).alias("most"))
 
-    def holds(kinds: Column) -> Column:
-        cjk, letters = F.length(F.translate(kinds, "1", "")), F.length(F.translate(kinds, "0", ""))
-        most = F.aggregate(F.split(kinds, ""), start, step, lambda a: a["most"])
+    def early(t: Column) -> Column:
+        kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, f"[^{CJK}{LETTER}]+", ""), f"[{CJK}]", "0"), f"[{LETTER}]", "1")
+        return F.aggregate(F.split(kinds, ""), start, step, lambda a: a["most"])
+
+    def holds(t: Column) -> Column:
+        # characters are counted by taking them away in runs, which is a match for each run and not for each character
+        cjk, letters = (F.length(t) - F.length(F.regexp_replace(t, f"[{x}]+", "")) for x in (CJK, LETTER))
         # the fold is needed only where the totals leave room for an early failure
-        return (cjk > 0) & (cjk >= letters) & F.when(letters <= 4, True).otherwise(most <= 4)
+        enough = lambda n: (n["cjk"] > 0) & (n["cjk"] >= n["letters"]) & F.when(n["letters"] <= 4, True).otherwise(early(t) <= 4)
+        return bound(F.struct(cjk.alias("cjk"), letters.alias("letters")), enough)
 
-    return bound(kinds, holds)
+    return bound(s, holds)
 
 
 def latin_leading(t: Column, limit: int = 200) -> Column:
@@ -218,8 +222,10 @@ def bracket_boundary(s: Column) -> Column:
     def holds(t: Column) -> Column:
         first, last = F.left(t, F.lit(1)), F.right(t, F.lit(1))
         paired = F.coalesce(F.try_element_at(pairs, first) == last, F.lit(False))
-        marks = F.filter(F.split(t, ""), lambda c: (c == first) | (c == last))
-        inside = strip(F.regexp_replace(t, r"(?s)^.(.*).\z", "$1"))
+        # the other characters go in runs: only brackets are looked at one by one
+        brackets = any_of("".join(a + b for a, b in PAIRS.items()))[1:-1]
+        marks = F.filter(F.split(F.regexp_replace(t, f"[^{brackets}]+", ""), ""), lambda c: (c == first) | (c == last))
+        inside = strip(F.substr(t, F.lit(2), F.length(t) - 2))
         return (F.length(t) >= 2) & paired & ~_unbalanced(marks, lambda c: c == first) & bound(inside, lambda x: (x != "") & mostly_cjk(x))
 
     return bound(strip(s), holds)

@@ -149,3 +149,12 @@ def test_options():
     base, user = {"a": {"b": 1, "c": [1, 2]}, "d": 2}, {"a": {"c": [3]}, "e": 5}
     assert options.merge(base, options.difference(base, options.merge(base, user))) == options.merge(base, user)
     assert options.ShortHeading(custom_regex="(").custom() is None
+
+
+def test_bracket_boundary_looks_at_brackets_only(spark):
+    """Runs of other characters go before anything is split into characters; the same answers as before."""
+    inner = ["一二三，abc" * 30, "一" * 200, "（一）" * 60, "一）（" * 60, "》》《一" * 60, "𠀀abcd一二三四五" * 20, "abcde一二三四五" * 20, "", "　", "abcd一二", None]
+    own = p.bracket_boundary(F.col("s"))
+    assert column(spark, [None if x is None else f" 《{x}》　" for x in inner] + ["《", "《》", "", "（一》", "一》"], own) == [True, True, True, True, False, True, False, False, False, False, False, False, False, False, False, False]
+    for split in str(own).split("split(")[1:]:  # no whole text is split
+        assert split.startswith("regexp_replace(")
