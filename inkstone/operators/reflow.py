@@ -31,6 +31,8 @@ _BRACKET = re.compile(c.any_of(c.BRACKETS))
 _QUOTE = re.compile("[" + "".join(a + b for a, b in p.QUOTE_COUNTERS).translate({ord(x): None for x in "〞〟"}) + "]")  # 〞 and 〟 close nothing here
 #: Characters at either end of a buffer that are looked at without joining its lines.
 _HEAD = 256
+#: Lines of a batch that are Python objects at once; Latin texts are among them, whole.
+ROWS = 256
 
 
 #: Kinds of lines, and flags of those that are neither alone nor empty.
@@ -40,7 +42,7 @@ CONTINUES, DIALOG, LIST, CLOSER, BRACKET, QUOTE, ALONE, INDENT = (1 << k for k i
 
 
 def line_facts(lines: DataFrame, options: PdfOptions) -> DataFrame:
-    """(doc, text, kind, flags) of lines (raw, mode, doc); mode AS_IS or BLANK goes through without a look."""
+    """(doc, text, kind, flags) of lines (raw, mode, doc); mode AS_IS or BLANK goes through without a look, its text is the document's."""
     whole = F.coalesce(F.col("mode"), F.lit(TEXT)) != TEXT
     own = lines.select("doc", "mode", "raw", F.when(whole, "").otherwise(t.strip_half_width_indent(t.right_trim(F.col("raw")))).alias("stripped"))
     own = own.select("*", p.divider(t.probe(F.col("stripped"))).alias("divider"))
@@ -73,8 +75,7 @@ def line_facts(lines: DataFrame, options: PdfOptions) -> DataFrame:
     ]
     bits = reduce(lambda a, x: a.bitwiseOR(x), [F.when(f, bit).otherwise(0) for bit, f in flags])
     own = own.select("doc", "raw", "text", "last", "list", "bracket", "quote", kind.cast("int").alias("kind"))
-    shown = F.when(F.col("kind") == AS_IS, F.col("raw")).otherwise(text)
-    return own.select("doc", shown.alias("text"), "kind", F.when(F.col("kind").isin(TEXT, HEADING), bits).otherwise(0).cast("int").alias("flags"))
+    return own.select("doc", "text", "kind", F.when(F.col("kind").isin(TEXT, HEADING), bits).otherwise(0).cast("int").alias("flags"))
 
 
 # ---------------------------------------------------------------- the walk's questions about its buffer
@@ -309,8 +310,11 @@ class _Out:
         return pa.RecordBatch.from_arrays([*pa.concat_arrays(self.docs).flatten(), segments, pa.array(self.texts, pa.string())], self.names)
 
 
-def _walked(options: PdfOptions, level: int, names: list[str]):
-    """Over lines in order, a document's first with the document: the documents with segments and joined text."""
+def _walked(options: PdfOptions, level: int, names: list[str], text_at: int):
+    """Over lines in order, a document's first with the document: the documents with segments and joined text.
+
+    Batches are taken in slices, so that a task's Python holds Spark's batch and what is made of ROWS lines of it.
+    """
     between = "\n" if options.compact else "\n\n"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,16 +325,16 @@ def _walked(options: PdfOptions, level: int, names: list[str]):
                 walk.flush("end")
                 out.add(doc, walk.out)
 
-        for b in it:
+        for b in (whole.slice(k, ROWS) for whole in it for k in range(0, whole.num_rows, ROWS)):
             out = _Out(names, between)
             docs = b.column(0)
             first = docs.is_valid().to_numpy(zero_copy_only=False)
             for i, (text, kind, flags) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
                 if first[i]:
                     close()
-                    doc, walk = docs.slice(i, 1), Walk(options.add_page_header, level)
+                    doc, walk = docs.take(pa.array([i])), Walk(options.add_page_header, level)  # a copy: a slice would keep its batch
                 if kind == AS_IS or kind == BLANK:
-                    out.add(doc, [], text if kind == AS_IS else "")
+                    out.add(doc, [], doc.field(text_at)[0].as_py() if kind == AS_IS else "")
                     walk = None
                 else:
                     walk.step(text, kind, flags)
@@ -364,7 +368,7 @@ def reflow(docs: DataFrame, options: PdfOptions | None = None, level: int = 2, t
     facts = line_facts(own.select(F.explode(rows).alias("x")).select("x.*"), options)
     segments = ArrayType(StructType([StructField("text", StringType()), StructField("rule", StringType())]))
     schema = StructType([*(StructField(f.name, f.dataType, True) for f in docs.schema.fields), StructField("segments", segments), StructField("reflowed", StringType())])
-    return facts.mapInArrow(_walked(options, level, schema.names), schema)
+    return facts.mapInArrow(_walked(options, level, schema.names, [x.lower() for x in docs.columns].index(text_col.lower())), schema)
 
 
 def paragraphs(reflowed: DataFrame, id_col: str = "doc_id") -> DataFrame:

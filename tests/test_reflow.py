@@ -104,3 +104,19 @@ def test_long_lines(spark, kind):
     assert row[f"t{len(texts) - 1}"] == len(plain.collapsed(LONG[kind])) if kind not in ("words", "numbers") else True
     assert len(reflow(df).first().reflowed) == len(plain.reflow(LONG[kind])[1]) if kind not in ("words", "numbers", "brackets") else True
     assert time.time() - began < 60
+
+
+def test_reflow_takes_batches_in_slices():
+    """A batch of many texts becomes Python objects by slices, and a Latin text is sent once, with its document."""
+    import pyarrow as pa
+
+    from inkstone.operators import reflow as module
+
+    n = 3000
+    texts = [f"latin text {i}" for i in range(n)]
+    names = ["doc_id", "text"]
+    docs = pa.StructArray.from_arrays([pa.array(range(n)), pa.array(texts)], names)
+    batch = pa.RecordBatch.from_arrays([docs, pa.array([""] * n), pa.array([module.AS_IS] * n, pa.int32()), pa.array([0] * n, pa.int32())], ["doc", "text", "kind", "flags"])
+    out = list(module._walked(PdfOptions(), 2, [*names, "segments", "reflowed"], 1)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 256
+    assert [x for b in out for x in b.column(3).to_pylist()] == texts and [x for b in out for x in b.column(0).to_pylist()] == list(range(n))
