@@ -30,19 +30,21 @@ def untrusted(norm: Column, repeats: Column) -> Column:
     return (often | F.coalesce(again, F.lit(False))) & ~punctuation_only(norm)
 
 
-def by_page(objects: DataFrame) -> DataFrame:
+def by_page(objects: DataFrame, partitions: int | None = None) -> DataFrame:
     """Text objects dealt by page: the filter, the line breaks and the page's text need no further shuffle.  A page is one text in the end, so that it is one task's work anyway."""
-    return objects.repartition("doc_id", "page_no")
+    return objects.repartition("doc_id", "page_no") if partitions is None else objects.repartition(partitions, "doc_id", "page_no")
 
 
-def kept_objects(objects: DataFrame) -> DataFrame:
+def kept_objects(objects: DataFrame, dealt: bool = False) -> DataFrame:
     """(doc_id, page_no, obj_no, raw, norm, y_bucket) without blank and overlay objects.
 
     One scan and one shuffle, by page; repeats are counted in a window of the page's partition, whose rows
     Spark spills where a text tiles a page many times over.  Null texts are blank; repeated rows count each.
+    Objects that are dealt by page already, as ``by_page`` deals, are not shuffled again.
     """
     same = Window.partitionBy("doc_id", "page_no", "norm", "y_bucket")
-    own = by_page(objects.where(F.col("norm") != "")).withColumn("repeats", F.count("*").over(same))
+    shown = objects.where(F.col("norm") != "")
+    own = (shown if dealt else by_page(shown)).withColumn("repeats", F.count("*").over(same))
     return own.where(~untrusted(F.col("norm"), F.col("repeats"))).select("doc_id", "page_no", "obj_no", "raw", "norm", "y_bucket")
 
 

@@ -421,21 +421,26 @@ _PAGES = "parts AS (SELECT doc_id, page_no, obj_no, CASE WHEN abs(y_bucket - lag
 
 
 def objects(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("pos", "w"))
+    """Text objects, dealt by page: a page's words travel as one text, and become objects where they arrive."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").select("doc_id", F.split("text", " ", -1).alias("words"))
+    pages = F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(40)), lambda k: F.array_join(F.slice("words", k + 1, 40), " "))
+    d = d.select("doc_id", F.posexplode(pages).alias("page", "words")).select("doc_id", (F.col("page") + 1).cast("long").alias("page_no"), "words")
+    # objects are ten times their pages' size: a number of partitions that follows the input, which Spark would coalesce by size
+    d = overlay.by_page(d, 24 * d.rdd.getNumPartitions()).select("doc_id", "page_no", F.posexplode(F.split("words", " ", -1)).alias("at", "w"))
+    d = d.select("doc_id", "page_no", ((F.col("page_no") - 1) * 40 + F.col("at")).cast("int").alias("pos"), "w")
     raw = F.when(F.col("pos") % 3 == 0, "BACKUP COPY").otherwise(F.col("w"))
     bottom = ((F.col("pos") * 7) % 60).cast("double")
-    d = d.select("doc_id", (F.floor(F.col("pos") / 40) + 1).alias("page_no"), F.col("pos").alias("obj_no"), raw.alias("raw"), t.normalize_white_space(raw).alias("norm"), t.band(bottom, bottom + 3).alias("y_bucket"))
-    return d
+    return d.select("doc_id", "page_no", F.col("pos").alias("obj_no"), raw.alias("raw"), t.normalize_white_space(raw).alias("norm"), t.band(bottom, bottom + 3).alias("y_bucket"))
 
 
 @query("overlay_filter", f"WITH {_OBJECTS} SELECT * FROM kept")
 def overlay_filter(spark, sf):
-    return overlay.kept_objects(objects(spark, sf))
+    return overlay.kept_objects(objects(spark, sf), dealt=True)
 
 
 @query("page_texts", f"WITH {_OBJECTS}, {_PAGES} SELECT * FROM texts")
 def page_texts(spark, sf):
-    return overlay.page_texts(overlay.kept_objects(objects(spark, sf)))
+    return overlay.page_texts(overlay.kept_objects(objects(spark, sf), dealt=True))
 
 
 @query("page_assemble", f"""WITH {_OBJECTS}, {_PAGES}, n AS (SELECT doc_id, max(page_no)::BIGINT AS page_count FROM texts GROUP BY doc_id)
